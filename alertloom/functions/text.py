@@ -52,16 +52,18 @@ def url_decoded(text: Column) -> Column:
     return F.lower(decoded)
 
 
-def content_mask(decoded: Column, is_uri: bool) -> Column:
-    """Reasons found in decoded content, one bit each (see `CONTENT_REASONS`)."""
-    mask = F.lit(0)
+def content_mask(decoded: str, is_uri: bool) -> Column:
+    """Reasons found in a column of decoded content, one bit each (see `CONTENT_REASONS`)."""
+    bits = []
     for bit, reason in enumerate(CONTENT_REASONS):
-        if reason == K.TRAVERSAL_REASON:
-            hit = contains_any(decoded, K.TRAVERSAL_MARKS) if is_uri else F.lit(False)
+        if reason != K.TRAVERSAL_REASON:
+            hit = f'{decoded} rlike r"{PATTERN_FLAGS}{K.CONTENT_PATTERNS[reason]}"'
+        elif is_uri:
+            hit = " or ".join(f'contains({decoded}, r"{m}")' for m in K.TRAVERSAL_MARKS)
         else:
-            hit = decoded.rlike(PATTERN_FLAGS + K.CONTENT_PATTERNS[reason])
-        mask = mask + F.when(hit, 1 << bit).otherwise(0)
-    return mask
+            continue
+        bits.append(f"if({hit}, {1 << bit}, 0)")
+    return F.expr(" + ".join(bits))
 
 
 def has_reason(mask: Column, *reasons: str) -> Column:

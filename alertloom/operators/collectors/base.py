@@ -57,7 +57,9 @@ def first_value(value: Column) -> Column:
 
 def item(**fields: Column) -> Column:
     return F.struct(*[
-        fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ITEM_FIELDS.items()
+        fields[name].cast(kind).alias(name) if name in fields
+        else F.expr(f"cast(null as {kind}) as `{name}`")
+        for name, kind in ITEM_FIELDS.items()
     ])
 
 

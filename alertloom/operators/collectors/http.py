@@ -24,8 +24,8 @@ def tag_content(rows: DataFrame) -> DataFrame:
         "_body", url_decoded(F.col("request_body"))
     )
     return (
-        decoded.withColumn("uri_mask", F.coalesce(content_mask(F.col("_uri"), True), F.lit(0)))
-        .withColumn("body_mask", F.coalesce(content_mask(F.col("_body"), False), F.lit(0)))
+        decoded.withColumn("uri_mask", F.coalesce(content_mask("_uri", True), F.lit(0)))
+        .withColumn("body_mask", F.coalesce(content_mask("_body", False), F.lit(0)))
         .drop("_uri", "_body")
     )
 

@@ -2,102 +2,136 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom import constants as K
 from alertloom.operators.band import band_best, near_rows
 from alertloom.session import stage
 
 HALF_US = K.MATCH_WINDOW_SECONDS * 1_000_000
-
-TUPLE = ["orig_h", "orig_p", "resp_h", "resp_p", "proto"]
 CONN_FIELDS = [
     "orig_h", "orig_p", "resp_h", "resp_p", "proto", "service", "conn_state", "duration",
     "orig_bytes", "resp_bytes",
 ]
 
 
+def community_key(community_id: str) -> Column:
+    """Match key of a community id; null without one."""
+    c = F.col(community_id)
+    return F.when(c != "", F.concat(F.lit("c|"), c))
+
+
+def tuple_key(*parts: Column) -> Column:
+    """Match key of a 5-tuple (addresses, ports, protocol); null unless complete."""
+    texts = [p.cast("string") for p in parts]
+    pieces = [F.lit("t")]
+    for t in texts:
+        pieces += [F.lit("|"), t]
+    return F.concat(*pieces)
+
+
+def alert_tuple_key() -> Column:
+    return tuple_key(
+        F.col("source_ip"), F.col("source_port").try_cast("int"), F.col("dest_ip"),
+        F.col("dest_port").try_cast("int"), F.lower("transport"),
+    )
+
+
+def conn_tuple_key() -> Column:
+    return tuple_key(*[F.col(c) for c in ("orig_h", "orig_p", "resp_h", "resp_p", "proto")])
+
+
+def keyed(conn: DataFrame, *keys: Column) -> DataFrame:
+    """A connection row once per match key it has."""
+    return conn.withColumn("key", F.explode(F.array_compact(F.array(*keys))))
+
+
+def probes(alerts: DataFrame, key: Column) -> DataFrame:
+    """alert_id, key, at_us of the alerts that have a key and an event time."""
+    return alerts.select("alert_id", key.alias("key"), F.col("event_us").alias("at_us")).dropna()
+
+
 def best_connection(
-    probes: DataFrame, conn: DataFrame, keys: list[str], half_us: int = HALF_US
+    points: DataFrame, conn: DataFrame, half_us: int = HALF_US
 ) -> DataFrame:
-    """Per probe (keys, at_us): the uid of its longest connection, and that uid's last row.
+    """alert_id, key, uid, conn: the longest connection of each probe, by the uid's last row.
 
     Duration null or zero ranks as -1, ties go to the connection seen first. The last row of
     the chosen uid within the band describes the connection. The log is scanned once, for the
     rows near a probe; both passes work on those.
     """
-    points = stage(probes.select(*keys, "at_us").dropna().distinct(), "points")
-    near = stage(near_rows(points, conn, keys, half_us), "near")
+    points = stage(points, "points")
+    instants = points.select("key", "at_us").distinct()
+    near = stage(near_rows(instants, conn, ["key"], half_us), "near")
     length = F.coalesce(F.nullif(F.col("duration"), F.lit(0.0)), F.lit(-1.0))
     longest = near.where(F.col("uid").isNotNull()).select(
-        *keys, "ts_us",
+        "key", "ts_us",
         F.struct(length.alias("length"), (-F.col("ts_us")).alias("early"),
                  (-F.col("row_id")).alias("tie"), "uid").alias("cand"),
     )
     winners = stage(
-        band_best(points, longest, keys, half_us).select(
-            *keys, "at_us", F.col("best.uid").alias("uid")
+        band_best(instants, longest, ["key"], half_us).select(
+            "key", "at_us", F.col("best.uid").alias("uid")
         ),
         "winners",
     )
-    latest = near.join(winners.select(*keys, "uid").distinct(), [*keys, "uid"], "left_semi")
-    # CONN_FIELDS may repeat key columns, so the row travels as one struct.
+    latest = near.join(winners.select("key", "uid").distinct(), ["key", "uid"], "left_semi")
     row = F.struct("ts_us", "row_id", *CONN_FIELDS)
-    return band_best(
-        winners, latest.select(*keys, "uid", "ts_us", row.alias("cand")), [*keys, "uid"], half_us
-    ).select(*keys, "at_us", "uid", F.col("best").alias("conn"))
+    described = band_best(
+        winners, latest.select("key", "uid", "ts_us", row.alias("cand")), ["key", "uid"], half_us
+    )
+    return points.join(described, ["key", "at_us"]).select(
+        "alert_id", "key", "uid", F.col("best").alias("conn")
+    )
 
 
 def match_by_community(
     alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US
 ) -> DataFrame:
     """alert_id, uid, conn for alerts with a connection of their community id in the band."""
-    probes = alerts.select("alert_id", "community_id", F.col("event_us").alias("at_us")).where(
-        (F.col("community_id") != "") & F.col("at_us").isNotNull()
-    )
-    hits = best_connection(probes, conn.where(F.col("community_id").isNotNull()),
-                           ["community_id"], half_us)
-    return probes.join(hits, ["community_id", "at_us"]).select("alert_id", "uid", "conn")
-
+    key = community_key("community_id")
+    return best_connection(probes(alerts, key), keyed(conn, key), half_us).drop("key")
 
-def without_community_rows(alerts: DataFrame, conn: DataFrame) -> DataFrame:
-    """Alerts whose community id is absent or in no connection row at all, band or not.
 
-    Only these may fall back to the 5-tuple: one raw hit outside the band already blocks it.
-    """
+def with_community_hit(alerts: DataFrame, conn: DataFrame) -> DataFrame:
+    """Adds `has_rows`: whether any connection row, near or not, has the alert's community id."""
     asked = alerts.select("community_id").where(F.col("community_id") != "").distinct()
     known = conn.select("community_id").join(asked, "community_id", "left_semi").distinct()
+    # Alerts without an id meet no row; a key of their own keeps them off one partition.
+    own = F.concat(F.lit("\0"), F.col("alert_id").cast("string"))
     usable = F.when(F.col("community_id") != "", F.col("community_id"))
-    # Alerts without an id cannot meet a row; a key of their own keeps them off one partition.
-    key = F.coalesce(usable, F.concat(F.lit("\0"), F.col("alert_id").cast("string")))
     return (
-        alerts.withColumn("_key", key)
-        .join(known.withColumnRenamed("community_id", "_key"), "_key", "left_anti")
-        .drop("_key")
+        alerts.withColumn("_id", F.coalesce(usable, own))
+        .join(known.select(F.col("community_id").alias("_id"), F.lit(True).alias("_hit")),
+              "_id", "left")
+        .withColumn("has_rows", F.col("_hit").isNotNull())
+        .drop("_id", "_hit")
     )
 
 
 def match_by_tuple(alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US) -> DataFrame:
-    """alert_id, uid, conn for alerts with a connection of their 5-tuple in the band."""
-    probes = alerts.select(
-        "alert_id",
-        F.col("source_ip").alias("orig_h"),
-        F.col("source_port").try_cast("int").alias("orig_p"),
-        F.col("dest_ip").alias("resp_h"),
-        F.col("dest_port").try_cast("int").alias("resp_p"),
-        F.lower("transport").alias("proto"),
-        F.col("event_us").alias("at_us"),
-    ).dropna()
-    hits = best_connection(probes, conn.dropna(subset=TUPLE), TUPLE, half_us)
-    return probes.join(hits, [*TUPLE, "at_us"]).select("alert_id", "uid", "conn")
+    """alert_id, uid, conn by 5-tuple, for alerts without any row of their community id.
+
+    One raw hit outside the band already blocks the fallback.
+    """
+    rest = with_community_hit(alerts, conn).where(~F.col("has_rows"))
+    return best_connection(
+        probes(rest, alert_tuple_key()), keyed(conn, conn_tuple_key()), half_us
+    ).drop("key")
 
 
 def match_alerts(alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US) -> DataFrame:
-    """alert_id, uid, conn, matched_by for every alert with a connection."""
-    by_id = match_by_community(alerts, conn, half_us).withColumn("matched_by", F.lit("community"))
-    rest = without_community_rows(alerts, conn)
-    by_tuple = match_by_tuple(rest, conn, half_us).withColumn("matched_by", F.lit("tuple"))
-    return by_id.unionByName(by_tuple)
+    """alert_id, uid, conn, matched_by for every alert with a connection.
+
+    Each alert asks with one key, by community id or by 5-tuple, so one pass serves both.
+    """
+    routed = with_community_hit(alerts, conn)
+    key = F.when(F.col("has_rows"), community_key("community_id")).otherwise(alert_tuple_key())
+    rows = keyed(conn, community_key("community_id"), conn_tuple_key())
+    by = F.when(F.col("key").startswith("c|"), "community").otherwise("tuple")
+    return best_connection(probes(routed, key), rows, half_us).select(
+        "alert_id", "uid", "conn", by.alias("matched_by")
+    )
 
 
 def session_rows(log: DataFrame, uids: DataFrame, salts: int = 8) -> DataFrame:

@@ -101,7 +101,7 @@ def alert_conn_match(spark, sf_dir):
 @query
 def alert_conn_fallback(spark, sf_dir):
     alerts, conn = view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn")
-    return M.match_by_tuple(M.without_community_rows(alerts, conn), conn).select(
+    return M.match_by_tuple(alerts, conn).select(
         "alert_id", "uid", F.col("conn.row_id").alias("conn_row")
     )
 
@@ -242,9 +242,10 @@ def http_content_reasons(spark, sf_dir):
 
 @query
 def document_content_reasons(spark, sf_dir):
-    body = F.lower("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", joined(text.mask_reasons(text.content_mask(body, False))).alias("reasons")
+    body = table(spark, sf_dir, "documents").withColumn("_body", F.lower("text"))
+    mask = text.content_mask("_body", False)
+    return body.withColumn("mask", mask).select(
+        "doc_id", joined(text.mask_reasons(F.col("mask"))).alias("reasons")
     )
 
 
