@@ -38,10 +38,13 @@ class Collector(Protocol):
 
     name: str
 
-    def summary(self, rows: DataFrame) -> DataFrame:
-        """uid, analysis, statistics and context columns, one row per reported session."""
+    def totals(self, rows: DataFrame) -> DataFrame:
+        """Aggregates of each session (uid, ...), from which the other two are derived."""
 
-    def evidence(self, rows: DataFrame) -> DataFrame:
+    def summary(self, totals: DataFrame) -> DataFrame:
+        """uid, analysis, statistics and context structs, one row per reported session."""
+
+    def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
         """uid, collector, kind, ord, item: any number of rows per session."""
 
 

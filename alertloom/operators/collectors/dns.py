@@ -82,8 +82,8 @@ class DnsCollector:
                         | F.col("repetitive") | F.col("high_failure") | F.col("has_low_ttl"))
         )
 
-    def summary(self, rows: DataFrame) -> DataFrame:
-        s = self.totals(rows).where("is_reported")
+    def summary(self, totals: DataFrame) -> DataFrame:
+        s = totals.where("is_reported")
         reasons = labels(
             (F.col("dga"), "DGA-like queries"),
             (F.col("high_failure"), "a high failure rate"),
@@ -120,8 +120,8 @@ class DnsCollector:
             .alias("context"),
         )
 
-    def evidence(self, rows: DataFrame) -> DataFrame:
-        totals = self.totals(rows).where("is_reported")
+    def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
+        totals = totals.where("is_reported")
         reported = session_rows(rows, totals)
 
         def finding(kind: str, source: str, content, reason):

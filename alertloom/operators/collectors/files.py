@@ -125,12 +125,12 @@ class FilesCollector:
             F.bool_or(evasive).alias("evasion_techniques_detected"),
         )
 
-    def summary(self, rows: DataFrame) -> DataFrame:
+    def summary(self, totals: DataFrame) -> DataFrame:
         n = F.col("suspicious_files_count")
         text = F.when(
             n > 0, F.format_string("Suspicious file activity detected (%d files)", n)
         ).otherwise("No suspicious file activity detected")
-        return self.totals(rows).select(
+        return totals.select(
             "uid",
             F.struct(text.alias("session_risk_summary"), "highest_threat_level",
                      "evasion_techniques_detected").alias("analysis"),
@@ -140,7 +140,7 @@ class FilesCollector:
             F.struct(F.lit(None).cast("string").alias("none")).alias("context"),
         )
 
-    def evidence(self, rows: DataFrame) -> DataFrame:
+    def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
         groups = self.groups(rows).where(F.col("mask") != 0)
         found = groups.join(self.example_names(rows), ["uid", "mask"], "left")
         ways = F.col("ways")

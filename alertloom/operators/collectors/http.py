@@ -158,8 +158,12 @@ class HttpCollector:
 
     def totals(self, rows: DataFrame) -> DataFrame:
         """Counts and byte sums, first agent, first direct-IP host, all reasons of a session."""
+        moved = transfers(rows).groupBy("uid").agg(
+            *[F.max(F.when(F.col("direction") == d, F.col("count"))).alias(f"n_{d}")
+              for d in DIRECTIONS]
+        )
         host = F.when(is_direct_ip_host(F.col("host")), F.col("host"))
-        return tag_content(rows).groupBy("uid").agg(
+        counted = tag_content(rows).groupBy("uid").agg(
             F.count("*").alias("total_requests"),
             F.sum(F.coalesce("request_body_len", F.lit(0))).alias("request_bytes"),
             F.sum(F.coalesce("response_body_len", F.lit(0))).alias("response_bytes"),
@@ -171,14 +175,11 @@ class HttpCollector:
             F.bool_or(risky_files("resp")).alias("risky_download"),
         )
 
-    def summary(self, rows: DataFrame) -> DataFrame:
-        moved = transfers(rows).groupBy("uid").agg(
-            *[F.max(F.when(F.col("direction") == d, F.col("count"))).alias(f"n_{d}")
-              for d in DIRECTIONS]
-        )
-        s = self.totals(rows).join(moved, "uid", "left")
+        return counted.join(moved, "uid", "left")
+
+    def summary(self, totals: DataFrame) -> DataFrame:
         agents = agent_properties(F.coalesce("user_agent", F.lit("")))
-        s = s.withColumn("agents", agents)
+        s = totals.withColumn("agents", agents)
         mask = F.col("mask")
         threats = labels(
             (F.array_contains("agents", "Anomalous Pattern"), "an anomalous user agent"),
@@ -229,7 +230,7 @@ class HttpCollector:
             F.struct(F.col("user_agent").alias("user_agent_string")).alias("context"),
         )
 
-    def evidence(self, rows: DataFrame) -> DataFrame:
+    def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
         found = content_findings(content_groups(content_hits(tag_content(rows))))
         files = evidence_rows(
             transfers(rows), "http", "findings",

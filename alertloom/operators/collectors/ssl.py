@@ -91,8 +91,8 @@ class SslCollector:
         ).where("has_name")
         return seen.join(flags, "uid")
 
-    def summary(self, rows: DataFrame) -> DataFrame:
-        s = self.totals(rows)
+    def summary(self, totals: DataFrame) -> DataFrame:
+        s = totals
         ja3, ja3s = F.col("ja3_details_threat"), F.col("ja3s_details_threat")
         threats = F.array_compact(F.array(
             F.when(ja3.isNotNull(), F.format_string("a JA3 hash matching '%s'", ja3)),
@@ -132,7 +132,7 @@ class SslCollector:
             F.struct(F.lit(None).cast("string").alias("none")).alias("context"),
         )
 
-    def evidence(self, rows: DataFrame) -> DataFrame:
+    def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
         return evidence_rows(
             self.values(rows), "ssl", F.col("kind"), position(),
             item(value=F.col("value"), threat_name=F.col("threat_name")),

@@ -14,6 +14,7 @@ from alertloom.operators.collectors.files import FilesCollector
 from alertloom.operators.collectors.http import HttpCollector
 from alertloom.operators.collectors.ssl import SslCollector
 from alertloom.operators.rules import REFERENCE, Rule, severity_level
+from alertloom.session import stage, stage_all
 
 LEVELS = [*K.SEVERITY_LEVELS, REFERENCE]
 PART_LIMIT = 10_000
@@ -23,31 +24,28 @@ def default_collectors() -> list[Collector]:
     return [HttpCollector(), DnsCollector(), SslCollector(), FilesCollector()]
 
 
-def classified(collector: Collector, rows: DataFrame,
+def classified(collector: Collector, totals: DataFrame,
                rules: Sequence[Rule] = K.SEVERITY_RULES) -> DataFrame:
     """The summary of each reported session with its severity `level`."""
-    s = collector.summary(rows)
+    s = collector.summary(totals)
     return s.withColumn("level", severity_level(collector.name, s.schema, rules))
 
 
-def session_summaries(uids: DataFrame, logs: dict[str, DataFrame],
+def session_summaries(uids: DataFrame, totals: dict[str, DataFrame],
                       collectors: Sequence[Collector],
                       rules: Sequence[Rule] = K.SEVERITY_RULES) -> DataFrame:
-    """One row per uid, with a struct (analysis, statistics, context, level) per collector.
-
-    All sides are grouped by uid already, so these joins move no rows.
-    """
+    """One row per uid, with a struct (analysis, statistics, context, level) per collector."""
     out = uids.select("uid").distinct()
     for c in collectors:
-        s = classified(c, logs[c.name], rules)
         block = F.struct("analysis", "statistics", "context", "level").alias(c.name)
-        out = out.join(s.select("uid", block), "uid", "left")
+        out = out.join(classified(c, totals[c.name], rules).select("uid", block), "uid", "left")
     return out
 
 
-def session_evidence(logs: dict[str, DataFrame], collectors: Sequence[Collector]) -> DataFrame:
+def session_evidence(logs: dict[str, DataFrame], totals: dict[str, DataFrame],
+                     collectors: Sequence[Collector]) -> DataFrame:
     """The long table of evidence: uid, collector, kind, ord, item."""
-    first, *rest = [c.evidence(logs[c.name]) for c in collectors]
+    first, *rest = [c.evidence(logs[c.name], totals[c.name]) for c in collectors]
     for e in rest:
         first = first.unionByName(e)
     return first
@@ -78,12 +76,16 @@ def evidence_parts(evidence: DataFrame, limit: int = PART_LIMIT) -> DataFrame:
 def sessions(uids: DataFrame, logs: dict[str, DataFrame],
              collectors: Sequence[Collector] | None = None,
              rules: Sequence[Rule] = K.SEVERITY_RULES, limit: int = PART_LIMIT) -> DataFrame:
-    """Summaries joined with evidence parts; part 0 exists for every uid."""
-    collectors = collectors or default_collectors()
-    summary = session_summaries(uids, logs, collectors, rules)
-    parts = evidence_parts(session_evidence(logs, collectors), limit)
+    """Summaries joined with evidence parts; part 0 exists for every uid.
+
+    Totals and the evidence table are staged: both are read by several branches.
+    """
+    collectors = list(collectors or default_collectors())
+    totals = stage_all({c.name: c.totals(logs[c.name]) for c in collectors})
+    evidence = stage(session_evidence(logs, totals, collectors), "evidence")
+    summary = session_summaries(uids, totals, collectors, rules)
     return (
-        summary.join(parts, "uid", "left")
+        summary.join(evidence_parts(evidence, limit), "uid", "left")
         .withColumn("part", F.coalesce("part", F.lit(0)))
         .withColumn("parts", F.coalesce("parts", F.lit(1)))
     )

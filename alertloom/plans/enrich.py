@@ -10,7 +10,7 @@ from alertloom import constants as K
 from alertloom.operators.collectors.base import Collector
 from alertloom.operators.documents import PART_LIMIT, default_collectors, documents, sessions
 from alertloom.operators.match import HALF_US, match_alerts, session_rows
-from alertloom.session import stage
+from alertloom.session import stage, stage_all
 from alertloom.sources.logs import prune_to
 
 
@@ -35,6 +35,6 @@ def enrich(
     collectors = list(collectors or default_collectors())
     matched = stage(match_alerts(alerts, conn, half_us), "matched")
     uids = matched.select("uid").distinct()
-    own = {c.name: stage(session_rows(logs[c.name], uids), c.name) for c in collectors}
+    own = stage_all({c.name: session_rows(logs[c.name], uids) for c in collectors})
     session = sessions(uids, own, collectors, rules, limit)
     return documents(alerts, matched, session, [c.name for c in collectors])

@@ -220,12 +220,14 @@ def ip_privacy(spark, sf_dir):
 @query
 def http_session_stats(spark, sf_dir):
     rows = view(spark, sf_dir, "v_http")
-    methods = http.HttpCollector().evidence(rows).where(F.col("kind") == "methods_used")
+    collector = http.HttpCollector()
+    totals = collector.totals(rows)
+    methods = collector.evidence(rows, totals).where(F.col("kind") == "methods_used")
     # Few distinct methods exist, so their list per session stays short.
     named = methods.groupBy("uid").agg(
         joined(F.array_sort(F.collect_list("item.value"))).alias("methods")
     )
-    return http.HttpCollector().totals(rows).join(named, "uid", "left").select(
+    return totals.join(named, "uid", "left").select(
         "uid", "total_requests", "request_bytes", "response_bytes", "client_errors",
         "user_agent", "direct_host", "methods",
     )
@@ -269,7 +271,7 @@ def http_file_transfers(spark, sf_dir):
 @query
 def http_assessment(spark, sf_dir):
     rows = view(spark, sf_dir, "v_http")
-    s = D.classified(http.HttpCollector(), rows)
+    s = D.classified(http.HttpCollector(), http.HttpCollector().totals(rows))
     a = F.col("analysis")
     return s.select(
         "uid", a["overall_assessment"].alias("overall_assessment"),
@@ -305,7 +307,8 @@ def dns_session_stats(spark, sf_dir):
 
 @query
 def dns_findings(spark, sf_dir):
-    found = dns.DnsCollector().evidence(view(spark, sf_dir, "v_dns"))
+    rows, collector = view(spark, sf_dir, "v_dns"), dns.DnsCollector()
+    found = collector.evidence(rows, stage(collector.totals(rows), "dns"))
     return found.groupBy(
         "uid", "item.type", "item.source", "item.content",
         F.element_at("item.reasons", 1).alias("reason"),
@@ -314,7 +317,8 @@ def dns_findings(spark, sf_dir):
 
 @query
 def dns_assessment(spark, sf_dir):
-    s = D.classified(dns.DnsCollector(), view(spark, sf_dir, "v_dns"))
+    collector = dns.DnsCollector()
+    s = D.classified(collector, collector.totals(view(spark, sf_dir, "v_dns")))
     return s.select("uid", "analysis.*", "level")
 
 
@@ -370,7 +374,8 @@ def ssl_intel_join(spark, sf_dir):
 
 @query
 def ssl_assessment(spark, sf_dir):
-    s = D.classified(ssl.SslCollector(), view(spark, sf_dir, "v_ssl"))
+    collector = ssl.SslCollector()
+    s = D.classified(collector, collector.totals(view(spark, sf_dir, "v_ssl")))
     a = F.col("analysis")
     return s.select(
         "uid", a["overall_assessment"].alias("overall_assessment"),
@@ -400,7 +405,8 @@ def files_risk(spark, sf_dir):
 
 @query
 def files_groups(spark, sf_dir):
-    found = files.FilesCollector().evidence(view(spark, sf_dir, "v_files"))
+    rows, collector = view(spark, sf_dir, "v_files"), files.FilesCollector()
+    found = collector.evidence(rows, collector.totals(rows))
     return found.select(
         "uid", F.col("item.count").alias("count"), joined("item.reasons").alias("reasons"),
         "item.severity", "item.avg_risk_score", joined("item.directions").alias("directions"),
@@ -410,7 +416,8 @@ def files_groups(spark, sf_dir):
 
 @query
 def files_rollup(spark, sf_dir):
-    s = D.classified(files.FilesCollector(), view(spark, sf_dir, "v_files"))
+    collector = files.FilesCollector()
+    s = D.classified(collector, collector.totals(view(spark, sf_dir, "v_files")))
     return s.select("uid", "analysis.*", "statistics.total_files_analyzed",
                     "statistics.suspicious_files_count", "statistics.suspicious_groups_count",
                     "statistics.total_bytes_transferred_kb", "level")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_table_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage independent tables at once, so that their jobs share the cluster."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        running = {name: pool.submit(stage, df, name) for name, df in tables.items()}
+        return {name: f.result() for name, f in running.items()}

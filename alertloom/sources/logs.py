@@ -60,11 +60,15 @@ def with_hot(archive: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def write_log_table(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """The columnar table of a log, one folder per UTC day and hour."""
+    """The columnar table of a log, one folder per UTC day and hour.
+
+    The rebalance keeps an hour in few files, and splits hours too large for one task.
+    """
     stamp = F.timestamp_micros("ts_us")
     (
         rows.withColumn("dt", F.to_date(stamp))
         .withColumn("hour", F.hour(stamp))
+        .hint("rebalance", "dt", "hour")
         .write.mode(mode)
         .partitionBy("dt", "hour")
         .parquet(path)
