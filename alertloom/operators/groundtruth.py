@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alertloom import constants as K
+from alertloom.functions.text import normal_port
 from alertloom.operators.collectors.base import first_n
 from alertloom.operators.ingest import last_of_each
 
@@ -37,8 +38,8 @@ def with_full_tuple(alerts: DataFrame) -> DataFrame:
 def map_alerts(alerts: DataFrame, flows: DataFrame) -> DataFrame:
     """Alerts with the labels of their flow."""
     keyed = with_full_tuple(
-        alerts.withColumn("source_port", F.col("source_port").try_cast("int"))
-        .withColumn("dest_port", F.col("dest_port").try_cast("int"))
+        alerts.withColumn("source_port", normal_port(F.col("source_port")).try_cast("int"))
+        .withColumn("dest_port", normal_port(F.col("dest_port")).try_cast("int"))
     )
     return keyed.join(flow_labels(flows), TUPLE).select(
         "timestamp", F.col("rule_name").alias("alert_name"),

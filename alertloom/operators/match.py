@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom import constants as K
+from alertloom.functions.text import normal_port
 from alertloom.operators.band import band_best, near_rows
 from alertloom.session import stage
 
@@ -32,8 +33,8 @@ def tuple_key(*parts: Column) -> Column:
 
 def alert_tuple_key() -> Column:
     return tuple_key(
-        F.col("source_ip"), F.col("source_port").try_cast("int"), F.col("dest_ip"),
-        F.col("dest_port").try_cast("int"), F.lower("transport"),
+        F.col("source_ip"), normal_port(F.col("source_port")), F.col("dest_ip"),
+        normal_port(F.col("dest_port")), F.lower("transport"),
     )
 
 

@@ -78,7 +78,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     """Adds `llm_analysis` (null if unusable) and `is_readable`."""
     found = F.to_json(response_object(F.col("response")))
     return responses.withColumn("is_readable", found.isNotNull()).withColumn(
-        "llm_analysis", F.from_json(found, _ddl(VERDICT))
+        "llm_analysis", F.from_json(found, VERDICT.strip())
     )
 
 
@@ -87,10 +87,6 @@ def unreadable(parsed: DataFrame) -> DataFrame:
     return parsed.where(~F.col("is_readable")).withColumn("block", json_block(F.col("response")))
 
 
-def _ddl(struct_type: str) -> str:
-    return " ".join(struct_type.split()).removeprefix("STRUCT<").removesuffix(">")
-
-
 def default_analyses(docs: DataFrame) -> DataFrame:
     """Analysis records of the alerts without evidence; rows need an `alert_index`."""
     return analysis_records(

@@ -150,9 +150,9 @@ def time_bucket_scan(spark, sf_dir):
 
 @query
 def log_table_scan(spark, sf_dir):
-    """Connections around the alerts, read back from a table with day and hour folders."""
+    """Connections around the alerts, read back from a table with day folders."""
     path = new_table_dir(spark, "conn_log")
-    write_log_table(view(spark, sf_dir, "v_conn"), path)
+    write_log_table(view(spark, sf_dir, "v_conn"), path, by=("dt",))
     alerts = view(spark, sf_dir, "v_alerts").where(
         F.col("timestamp").between("2024-01-10 00:00:00", "2024-01-12 23:59:59")
     )

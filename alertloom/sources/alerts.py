@@ -6,30 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom.functions.text import content_hash, event_micros, non_empty, normal_port
 from alertloom.schemas import ALERT_JSON, ALERT_LOG_JSON, ANALYSIS_JSON
-from alertloom.sources.logs import CORRUPT
+from alertloom.sources.logs import CORRUPT, json_lines
 
 HASH_COLUMNS = ["timestamp", "source_ip", "source_port", "dest_ip", "dest_port", "rule_name"]
 
 
 def read_alerts_json(spark: SparkSession, *paths: str, array_file: bool = False) -> DataFrame:
-    """Nested alerts from JSON lines, or from files holding one JSON array."""
-    return _good(
-        spark.read.schema(f"{ALERT_JSON}, {CORRUPT} STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("multiLine", str(array_file).lower())
-        .json(list(paths))
-    )
+    """Nested alerts from JSON lines, or from files holding one JSON array each."""
+    if array_file:
+        return spark.read.schema(ALERT_JSON).option("multiLine", "true").json(list(paths))
+    return _good(json_lines(spark, ALERT_JSON, *paths))
 
 
 def read_alert_log(spark: SparkSession, *paths: str) -> DataFrame:
     """Rows of the day log, back in the shape of nested alerts."""
-    rows = _good(
-        spark.read.schema(f"{ALERT_LOG_JSON}, {CORRUPT} STRING")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(list(paths))
-    )
-    return rows.select("original_alert.*")
+    return _good(json_lines(spark, ALERT_LOG_JSON, *paths)).select("original_alert.*")
 
 
 def _good(df: DataFrame) -> DataFrame:
@@ -79,7 +70,7 @@ def read_document_files(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per document file: its index from the file name, and the parsed document."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return (
-        spark.read.option("wholetext", "true").text(list(paths))
+        spark.read.text(list(paths), wholetext=True)
         .select(
             F.regexp_extract(name, r"(\d+)\.jsonl?$", 1).try_cast("long").alias("alert_index"),
             F.try_parse_json("value").alias("document"),

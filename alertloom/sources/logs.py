@@ -14,15 +14,20 @@ def row_id(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
 
 
+def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """Parsed JSON lines; a malformed line keeps only its text, in `_corrupt_record`.
+
+    Files ending in .gz are unpacked on the way.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} STRING", options)
+    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
+    return lines.select(parsed.alias("j")).select("j.*")
+
+
 def read_log_json(spark: SparkSession, log_type: str, *paths: str) -> DataFrame:
-    """Parsed rows plus the malformed lines, which keep only their text (`_corrupt_record`)."""
-    schema = f"{LOG_JSON[log_type]}, {CORRUPT} STRING"
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(list(paths))
-    )
+    """Rows of a log together with its malformed lines."""
+    return json_lines(spark, LOG_JSON[log_type], *paths)
 
 
 def quarantine(df: DataFrame) -> DataFrame:
@@ -59,19 +64,18 @@ def with_hot(archive: DataFrame, hot: DataFrame) -> DataFrame:
     return archive.unionByName(hot, allowMissingColumns=True).dropDuplicates(keys)
 
 
-def write_log_table(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """The columnar table of a log, one folder per UTC day and hour.
+def write_log_table(rows: DataFrame, path: str, mode: str = "append",
+                    by: tuple[str, ...] = ("dt", "hour")) -> None:
+    """The columnar table of a log, one folder per UTC day and hour (or day, for small logs).
 
-    The rebalance keeps an hour in few files, and splits hours too large for one task.
+    The rebalance keeps a folder in few files, and splits folders too large for one task.
     """
     stamp = F.timestamp_micros("ts_us")
+    folders = {"dt": F.to_date(stamp), "hour": F.hour(stamp)}
     (
-        rows.withColumn("dt", F.to_date(stamp))
-        .withColumn("hour", F.hour(stamp))
-        .hint("rebalance", "dt", "hour")
-        .write.mode(mode)
-        .partitionBy("dt", "hour")
-        .parquet(path)
+        rows.withColumns({name: folders[name] for name in by})
+        .hint("rebalance", *by)
+        .write.mode(mode).partitionBy(*by).parquet(path)
     )
 
 
@@ -86,13 +90,15 @@ def prune_to(rows: DataFrame, first_us: int, last_us: int) -> DataFrame:
     folders are cut by their `ts_us`, which reaches the scan as a pushed filter.
     """
     inside = rows.where(F.col("ts_us").between(first_us, last_us))
-    if not {"dt", "hour"} <= set(rows.columns):
+    if "dt" not in rows.columns:
         return inside
     first, last = F.timestamp_micros(F.lit(first_us)), F.timestamp_micros(F.lit(last_us))
     dt, hour = F.col("dt"), F.col("hour")
+    inside = inside.where(dt.between(F.to_date(first), F.to_date(last)))
+    if "hour" not in rows.columns:
+        return inside
     return inside.where(
-        dt.between(F.to_date(first), F.to_date(last))
-        & ((dt > F.to_date(first)) | (hour >= F.hour(first)))
+        ((dt > F.to_date(first)) | (hour >= F.hour(first)))
         & ((dt < F.to_date(last)) | (hour <= F.hour(last)))
     )
 
