@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
 from alertloom import constants as K
 
-# Inline flags: ignore case over Unicode, and let a dot match everything but a line feed.
-PATTERN_FLAGS = "(?idU)"
+# Characters that count as blanks, or as the letters i and s, when case is ignored over Unicode.
+ODD_BLANKS = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+ODD_LETTERS, PLAIN_LETTERS = "\u0131\u017f", "is"
+# One of these must occur before a pattern is worth trying; they are cheap to look for.
+PATTERN_MARKS = {
+    "Classic SQLi": ["'", "union", "--", "/*", "*/"],
+    "Time-based Blind": ["benchmark", "sleep"],
+    "HTML Event Handler": ["onerror", "onload", "onmouseover"],
+    "Web Shell Command in Parameter": ["="],
+    "Suspicious Script in Uploads": ["/upload"],
+}
 CONTENT_REASONS = sorted([*K.CONTENT_PATTERNS, K.TRAVERSAL_REASON])
 
 
@@ -52,16 +65,37 @@ def url_decoded(text: Column) -> Column:
     return F.lower(decoded)
 
 
-def content_mask(decoded: str, is_uri: bool) -> Column:
-    """Reasons found in a column of decoded content, one bit each (see `CONTENT_REASONS`)."""
+def folded(lowered: Column) -> Column:
+    """Lower-case text with unusual blanks and letters replaced by their plain forms.
+
+    Patterns can then be matched byte-wise and case-sensitively with the same outcome.
+    """
+    odd = ODD_LETTERS + ODD_BLANKS
+    plain = PLAIN_LETTERS + " " * len(ODD_BLANKS)
+    # Most texts fail the first test, nearly all others the second.
+    suspect = lowered.rlike(r"[^\x00-\x1b\x20-\x7f]") & contains_any(lowered, odd)
+    return F.when(suspect, F.translate(lowered, odd, plain)).otherwise(lowered)
+
+
+def content_mask(content: str, is_uri: bool) -> Column:
+    """Reasons found in a column of decoded, folded content, one bit each (`CONTENT_REASONS`)."""
+    def any_of(words: Iterable[str]) -> str:
+        return "(" + " or ".join(f'contains({content}, r"{w}")' for w in words) + ")"
+
     bits = []
     for bit, reason in enumerate(CONTENT_REASONS):
-        if reason != K.TRAVERSAL_REASON:
-            hit = f'{decoded} rlike r"{PATTERN_FLAGS}{K.CONTENT_PATTERNS[reason]}"'
-        elif is_uri:
-            hit = " or ".join(f'contains({decoded}, r"{m}")' for m in K.TRAVERSAL_MARKS)
+        pattern = K.CONTENT_PATTERNS.get(reason)
+        if pattern is None:
+            if not is_uri:
+                continue
+            hit = any_of(K.TRAVERSAL_MARKS)
+        elif not re.search(r"[\\()\[\]{}*+?.^$]", pattern):
+            hit = any_of(pattern.split("|"))
         else:
-            continue
+            # (?d): a dot matches everything but a line feed.
+            hit = f'{content} rlike r"(?d){pattern}"'
+            if reason in PATTERN_MARKS:
+                hit = f"{any_of(PATTERN_MARKS[reason])} and {hit}"
         bits.append(f"if({hit}, {1 << bit}, 0)")
     return F.expr(" + ".join(bits))
 

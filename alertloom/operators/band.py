@@ -46,54 +46,61 @@ def band_best(probes: DataFrame, rows: DataFrame, keys: list[str], half_us: int)
     probes with an empty band are left out.
     """
     width = 2 * half_us - 1
-    points = probes.select(*keys, "at_us")
     none = F.lit(None).cast(rows.schema["cand"].dataType)
-
-    # Copies of one key and instant collapse before any window sees them.
-    instants = (
-        rows.groupBy(*keys, F.col("ts_us").alias("t"))
-        .agg(F.max("cand").alias("cand"))
-    )
-    edges = points.withColumn(
-        "edge",
-        F.explode(
-            F.array(
+    cell_keys = [*keys, "block", "cell"]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns(
+            {"block": _block(F.col("t"), width), "cell": _cell(F.col("t"), width)}
+        )
+
+    timed = placed(rows.select(*keys, F.col("ts_us").alias("t"), "cand"))
+    edges = placed(
+        probes.select(
+            *keys, "at_us",
+            F.explode(F.array(
                 F.struct((F.col("at_us") - half_us + 1).alias("t"), F.lit(False).alias("is_end")),
                 F.struct((F.col("at_us") + half_us - 1).alias("t"), F.lit(True).alias("is_end")),
-            )
-        ),
-    ).select(*keys, "edge.t", none.alias("cand"), "at_us", "edge.is_end")
-    events = (
-        instants.select(*keys, "t", "cand", F.lit(None).cast("long").alias("at_us"),
-                        F.lit(None).cast("boolean").alias("is_end"))
-        .unionByName(edges)
-        .withColumn("block", _block(F.col("t"), width))
-        .withColumn("cell", _cell(F.col("t"), width))
+            )).alias("edge"),
+        ).select(*keys, "at_us", "edge.*")
     )
 
-    in_cell = Window.partitionBy(*keys, "block", "cell")
+    # Within the cells that hold an edge: rows up to the end, or from the start on. Copies of
+    # one key and instant collapse before any window sees them.
+    edge_cells = edges.select(*cell_keys).distinct()
+    instants = (
+        timed.join(edge_cells, cell_keys, "left_semi")
+        .groupBy(*cell_keys, "t").agg(F.max("cand").alias("cand"))
+        .select(*cell_keys, "t", "cand", F.lit(None).cast("long").alias("at_us"),
+                F.lit(None).cast("boolean").alias("is_end"))
+    )
+    in_cell = Window.partitionBy(*cell_keys)
     up_to = in_cell.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     from_on = in_cell.orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
     within = (
-        events.withColumn("head", F.max("cand").over(up_to))
+        instants.unionByName(edges.withColumn("cand", none))
+        .withColumn("head", F.max("cand").over(up_to))
         .withColumn("rest", F.max("cand").over(from_on))
         .where(F.col("at_us").isNotNull())
-        .select(*keys, "block", "cell", "at_us", "is_end",
+        .select(*cell_keys, "at_us", "is_end",
                 F.when(F.col("is_end"), F.col("head")).otherwise(F.col("rest")).alias("inner"))
     )
 
+    # Whole cells before the end, or after the start, in the block of the edge.
     in_block = Window.partitionBy(*keys, "block")
     before = in_block.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     after = in_block.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        events.groupBy(*keys, "block", "cell").agg(F.max("cand").alias("top"))
+        timed.select(*cell_keys, "cand")
+        .unionByName(edges.select(*cell_keys, none.alias("cand")))
+        .groupBy(*cell_keys).agg(F.max("cand").alias("top"))
         .withColumn("before", F.max("top").over(before))
         .withColumn("after", F.max("top").over(after))
         .drop("top")
     )
     outer = F.when(F.col("is_end"), F.col("before")).otherwise(F.col("after"))
     return (
-        within.join(cells, [*keys, "block", "cell"])
+        within.join(cells, cell_keys)
         .groupBy(*keys, "at_us")
         .agg(F.max(F.greatest("inner", outer)).alias("best"))
         .where(F.col("best").isNotNull())

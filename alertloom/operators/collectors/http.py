@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.functions.network import is_direct_ip_host
 from alertloom.functions.text import (
-    agent_properties, content_mask, file_extension, has_reason, labels, mask_reasons, sentence,
-    url_decoded,
+    agent_properties, content_mask, file_extension, folded, has_reason, labels, mask_reasons,
+    sentence, url_decoded,
 )
 from alertloom.operators.collectors.base import (
     LAST, evidence_rows, first_n, first_value, item, position,
@@ -20,9 +20,9 @@ DIRECTIONS = {"upload": "orig", "download": "resp"}
 
 def tag_content(rows: DataFrame) -> DataFrame:
     """Adds `uri_mask` and `body_mask`: the reasons found in the decoded URI and body."""
-    decoded = rows.withColumn("_uri", url_decoded(F.col("uri"))).withColumn(
-        "_body", url_decoded(F.col("request_body"))
-    )
+    decoded = rows.withColumns(
+        {"_uri": url_decoded(F.col("uri")), "_body": url_decoded(F.col("request_body"))}
+    ).withColumns({"_uri": folded(F.col("_uri")), "_body": folded(F.col("_body"))})
     return (
         decoded.withColumn("uri_mask", F.coalesce(content_mask("_uri", True), F.lit(0)))
         .withColumn("body_mask", F.coalesce(content_mask("_body", False), F.lit(0)))

@@ -244,7 +244,9 @@ def http_content_reasons(spark, sf_dir):
 
 @query
 def document_content_reasons(spark, sf_dir):
-    body = table(spark, sf_dir, "documents").withColumn("_body", F.lower("text"))
+    body = table(spark, sf_dir, "documents").withColumn(
+        "_low", F.lower("text")
+    ).withColumn("_body", text.folded(F.col("_low")))
     mask = text.content_mask("_body", False)
     return body.withColumn("mask", mask).select(
         "doc_id", joined(text.mask_reasons(F.col("mask"))).alias("reasons")

@@ -2,11 +2,13 @@ import ipaddress
 import math
 import os
 import random
+import re
 from collections import Counter
 from urllib.parse import unquote_plus
 
 from pyspark.sql import functions as F
 
+from alertloom import constants as K
 from alertloom.functions import jsontext, network, text
 
 
@@ -136,3 +138,21 @@ def test_agent_properties(spark):
     got = apply(spark, ["curl/8", "MSIE 7.0 svchost.exe", "Mozilla/5"], text.agent_properties)
     assert got == [["Scripting/Tool Signature"],
                    ["Anomalous Pattern", "Outdated Browser Signature"], ["Normal"]]
+
+
+def test_content_patterns_match_the_ones_of_python(spark):
+    rng = random.Random(3)
+    pieces = ["pa\u017f\u017fword", "union\xa0select", "union\x1cselect", "' or 1=1", "'\u2003and x = y",
+              "sleep (", "onload\u3000=", "<\u017fcript", "<img", "=\xa0id", "=ls", "/uploads/\r\u2028shell.php",
+              "/upload/\nshell.php", "a" * 31, "0f" * 16, "--", "*/", "plain", "\n", " ", "../", "KEY"]
+    values = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    df = df.withColumn("y", text.folded(F.lower("x")))
+    got = {r["i"]: r["m"] for r in df.select(
+        "i", text.mask_reasons(text.content_mask("y", True)).alias("m")).collect()}
+    for i, v in enumerate(values):
+        low = v.lower()
+        want = [r for r, p in K.CONTENT_PATTERNS.items() if re.search(p, low, re.IGNORECASE)]
+        if any(m in low for m in K.TRAVERSAL_MARKS):
+            want.append(K.TRAVERSAL_REASON)
+        assert got[i] == sorted(want), repr(v)
