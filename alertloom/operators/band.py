@@ -25,7 +25,8 @@ def _cell(t: Column, width: int) -> Column:
 def near_rows(probes: DataFrame, rows: DataFrame, keys: list[str], half_us: int) -> DataFrame:
     """Rows whose key some probe has within reach: a semi join on key and coarse time slot.
 
-    A superset of the rows in the bands, cut before anything is shuffled by time.
+    A superset of the rows in the bands, cut before anything is shuffled by time. The result is
+    meant to be staged as it is, so adaptive execution may split the join on a hot key.
     """
     slot = F.floor(F.col("at_us") / half_us)
     wanted = probes.select(
@@ -54,7 +55,11 @@ def band_best(probes: DataFrame, rows: DataFrame, keys: list[str], half_us: int)
             {"block": _block(F.col("t"), width), "cell": _cell(F.col("t"), width)}
         )
 
-    timed = placed(rows.select(*keys, F.col("ts_us").alias("t"), "cand"))
+    # Copies of one key and instant collapse before any window or join sees them.
+    instants = (
+        placed(rows.select(*keys, F.col("ts_us").alias("t"), "cand"))
+        .groupBy(*cell_keys, "t").agg(F.max("cand").alias("cand"))
+    )
     edges = placed(
         probes.select(
             *keys, "at_us",
@@ -65,20 +70,17 @@ def band_best(probes: DataFrame, rows: DataFrame, keys: list[str], half_us: int)
         ).select(*keys, "at_us", "edge.*")
     )
 
-    # Within the cells that hold an edge: rows up to the end, or from the start on. Copies of
-    # one key and instant collapse before any window sees them.
+    # Within the cells that hold an edge: rows up to the end, or from the start on.
     edge_cells = edges.select(*cell_keys).distinct()
-    instants = (
-        timed.join(edge_cells, cell_keys, "left_semi")
-        .groupBy(*cell_keys, "t").agg(F.max("cand").alias("cand"))
-        .select(*cell_keys, "t", "cand", F.lit(None).cast("long").alias("at_us"),
-                F.lit(None).cast("boolean").alias("is_end"))
+    close = instants.join(edge_cells, cell_keys, "left_semi").select(
+        *cell_keys, "t", "cand", F.lit(None).cast("long").alias("at_us"),
+        F.lit(None).cast("boolean").alias("is_end"),
     )
     in_cell = Window.partitionBy(*cell_keys)
     up_to = in_cell.orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     from_on = in_cell.orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, 0)
     within = (
-        instants.unionByName(edges.withColumn("cand", none))
+        close.unionByName(edges.withColumn("cand", none))
         .withColumn("head", F.max("cand").over(up_to))
         .withColumn("rest", F.max("cand").over(from_on))
         .where(F.col("at_us").isNotNull())
@@ -91,7 +93,7 @@ def band_best(probes: DataFrame, rows: DataFrame, keys: list[str], half_us: int)
     before = in_block.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     after = in_block.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        timed.select(*cell_keys, "cand")
+        instants.select(*cell_keys, "cand")
         .unionByName(edges.select(*cell_keys, none.alias("cand")))
         .groupBy(*cell_keys).agg(F.max("cand").alias("top"))
         .withColumn("before", F.max("top").over(before))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.functions.text import normal_port
 from alertloom.operators.band import band_best, near_rows
+from alertloom.operators.skew import salted_semi
 from alertloom.session import stage
 
 HALF_US = K.MATCH_WINDOW_SECONDS * 1_000_000
@@ -76,7 +77,7 @@ def best_connection(
         ),
         "winners",
     )
-    latest = near.join(winners.select("key", "uid").distinct(), ["key", "uid"], "left_semi")
+    latest = salted_semi(near, winners, ["key", "uid"])
     row = F.struct("ts_us", "row_id", *CONN_FIELDS)
     described = band_best(
         winners, latest.select("key", "uid", "ts_us", row.alias("cand")), ["key", "uid"], half_us
@@ -96,8 +97,9 @@ def match_by_community(
 
 def with_community_hit(alerts: DataFrame, conn: DataFrame) -> DataFrame:
     """Adds `has_rows`: whether any connection row, near or not, has the alert's community id."""
-    asked = alerts.select("community_id").where(F.col("community_id") != "").distinct()
-    known = conn.select("community_id").join(asked, "community_id", "left_semi").distinct()
+    asked = alerts.select("community_id").where(F.col("community_id") != "")
+    rows = conn.select("community_id", "row_id")
+    known = salted_semi(rows, asked, ["community_id"]).select("community_id").distinct()
     # Alerts without an id meet no row; a key of their own keeps them off one partition.
     own = F.concat(F.lit("\0"), F.col("alert_id").cast("string"))
     usable = F.when(F.col("community_id") != "", F.col("community_id"))
@@ -135,15 +137,6 @@ def match_alerts(alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US) ->
     )
 
 
-def session_rows(log: DataFrame, uids: DataFrame, salts: int = 8) -> DataFrame:
-    """The rows of a log that belong to matched connections.
-
-    The (small) uid side is repeated once per salt, so a uid with a large share of the log is
-    spread over `salts` join partitions; when Spark sees the uid side is small it broadcasts it.
-    """
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(salts))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
-    wanted = uids.select("uid").distinct().withColumn("_salt", F.explode(every))
-    return (
-        log.withColumn("_salt", salt).join(wanted, ["uid", "_salt"], "left_semi").drop("_salt")
-    )
+def session_rows(log: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows of a log that belong to matched connections."""
+    return salted_semi(log, uids, ["uid"])
