@@ -72,15 +72,22 @@ def folded(lowered: Column) -> Column:
     """
     odd = ODD_LETTERS + ODD_BLANKS
     plain = PLAIN_LETTERS + " " * len(ODD_BLANKS)
-    # Most texts fail the first test, nearly all others the second.
-    suspect = lowered.rlike(r"[^\x00-\x1b\x20-\x7f]") & contains_any(lowered, odd)
-    return F.when(suspect, F.translate(lowered, odd, plain)).otherwise(lowered)
+
+    def replaced(x: Column) -> Column:
+        # Most texts fail the first test, nearly all others the second.
+        suspect = x.rlike(r"[^\x00-\x1b\x20-\x7f]") & contains_any(x, odd)
+        return F.when(suspect, F.translate(x, odd, plain)).otherwise(x)
+
+    return let(lowered, replaced)
 
 
 def content_mask(content: str, is_uri: bool) -> Column:
-    """Reasons found in a column of decoded, folded content, one bit each (`CONTENT_REASONS`)."""
+    """Reasons found in a column of decoded, folded content, one bit each (`CONTENT_REASONS`).
+
+    The column is named once, so that merged projections do not decode it once per pattern.
+    """
     def any_of(words: Iterable[str]) -> str:
-        return "(" + " or ".join(f'contains({content}, r"{w}")' for w in words) + ")"
+        return "(" + " or ".join(f'contains(c, r"{w}")' for w in words) + ")"
 
     bits = []
     for bit, reason in enumerate(CONTENT_REASONS):
@@ -93,11 +100,11 @@ def content_mask(content: str, is_uri: bool) -> Column:
             hit = any_of(pattern.split("|"))
         else:
             # (?d): a dot matches everything but a line feed.
-            hit = f'{content} rlike r"(?d){pattern}"'
+            hit = f'c rlike r"(?d){pattern}"'
             if reason in PATTERN_MARKS:
                 hit = f"{any_of(PATTERN_MARKS[reason])} and {hit}"
         bits.append(f"if({hit}, {1 << bit}, 0)")
-    return F.expr(" + ".join(bits))
+    return F.expr(f"get(transform(array({content}), c -> {' + '.join(bits)}), 0)")
 
 
 def has_reason(mask: Column, *reasons: str) -> Column:

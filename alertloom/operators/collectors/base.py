@@ -38,6 +38,9 @@ class Collector(Protocol):
 
     name: str
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        """Row-wise work to be done once, before the rows are staged."""
+
     def totals(self, rows: DataFrame) -> DataFrame:
         """Aggregates of each session (uid, ...), from which the other two are derived."""
 

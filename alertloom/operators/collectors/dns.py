@@ -38,6 +38,9 @@ class DnsCollector:
     def __init__(self, suffixes: Iterable[str] | None = None):
         self.suffixes = suffixes
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows
+
     def queries(self, rows: DataFrame) -> DataFrame:
         """One row per session and distinct query (null for rows without one)."""
         return rows.groupBy("uid", F.expr("nullif(query, '')").alias("query")).agg(

@@ -86,6 +86,9 @@ def file_findings(rows: DataFrame) -> DataFrame:
 class FilesCollector:
     name = "files"
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows
+
     def groups(self, rows: DataFrame) -> DataFrame:
         """Files of a session with equal reasons; at most one group per reason set."""
         direction = F.when(F.col("is_orig"), UPLOAD).otherwise(DOWNLOAD)

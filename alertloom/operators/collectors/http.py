@@ -19,15 +19,20 @@ DIRECTIONS = {"upload": "orig", "download": "resp"}
 
 
 def tag_content(rows: DataFrame) -> DataFrame:
-    """Adds `uri_mask` and `body_mask`: the reasons found in the decoded URI and body."""
-    decoded = rows.withColumns(
-        {"_uri": url_decoded(F.col("uri")), "_body": url_decoded(F.col("request_body"))}
-    ).withColumns({"_uri": folded(F.col("_uri")), "_body": folded(F.col("_body"))})
-    return (
-        decoded.withColumn("uri_mask", F.coalesce(content_mask("_uri", True), F.lit(0)))
-        .withColumn("body_mask", F.coalesce(content_mask("_body", False), F.lit(0)))
-        .drop("_uri", "_body")
-    )
+    """Adds `uri_mask` and `body_mask`: the reasons found in the decoded URI and body.
+
+    Whole texts are searched; after that only the beginning is kept, for the examples.
+    """
+    decoded = rows.withColumns({
+        "_uri": folded(url_decoded(F.col("uri"))),
+        "_body": folded(url_decoded(F.col("request_body"))),
+    })
+    return decoded.withColumns({
+        "uri_mask": F.coalesce(content_mask("_uri", True), F.lit(0)),
+        "body_mask": F.coalesce(content_mask("_body", False), F.lit(0)),
+        "uri": F.substring("uri", 1, K.CONTENT_EXAMPLE_CHARS),
+        "request_body": F.substring("request_body", 1, K.CONTENT_EXAMPLE_CHARS),
+    }).drop("_uri", "_body")
 
 
 def content_hits(tagged: DataFrame) -> DataFrame:
@@ -35,11 +40,11 @@ def content_hits(tagged: DataFrame) -> DataFrame:
     def part(mask: str, source: int, text: str) -> Column:
         return F.struct(
             F.col(mask).alias("mask"), F.lit(source).alias("source"),
-            F.substring(text, 1, K.CONTENT_EXAMPLE_CHARS).alias("content"),
+            F.col(text).alias("content"),
         )
 
     parts = F.array(part("uri_mask", URI, "uri"), part("body_mask", BODY, "request_body"))
-    hits = tagged.where((F.col("uri_mask") + F.col("body_mask")) > 0).select(
+    hits = tagged.select(
         "uid", "ts_us", "row_id",
         F.explode(F.filter(parts, lambda p: p["mask"] != 0)).alias("hit"),
     )
@@ -156,6 +161,9 @@ def risky_files(prefix: str) -> Column:
 class HttpCollector:
     name = "http"
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return tag_content(rows)
+
     def totals(self, rows: DataFrame) -> DataFrame:
         """Counts and byte sums, first agent, first direct-IP host, all reasons of a session."""
         moved = transfers(rows).groupBy("uid").agg(
@@ -163,7 +171,7 @@ class HttpCollector:
               for d in DIRECTIONS]
         )
         host = F.when(is_direct_ip_host(F.col("host")), F.col("host"))
-        counted = tag_content(rows).groupBy("uid").agg(
+        counted = rows.groupBy("uid").agg(
             F.count("*").alias("total_requests"),
             F.sum(F.coalesce("request_body_len", F.lit(0))).alias("request_bytes"),
             F.sum(F.coalesce("response_body_len", F.lit(0))).alias("response_bytes"),
@@ -231,7 +239,7 @@ class HttpCollector:
         )
 
     def evidence(self, rows: DataFrame, totals: DataFrame) -> DataFrame:
-        found = content_findings(content_groups(content_hits(tag_content(rows))))
+        found = content_findings(content_groups(content_hits(rows)))
         files = evidence_rows(
             transfers(rows), "http", "findings",
             position(LAST, F.when(F.col("direction") == "upload", 0).otherwise(1)),

@@ -48,6 +48,9 @@ class SslCollector:
     def __init__(self, intel: dict[str, DataFrame] | None = None):
         self.intel = intel
 
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows
+
     def values(self, rows: DataFrame) -> DataFrame:
         """Distinct texts seen in a session: uid, kind, value, threat_name."""
         singles = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"))

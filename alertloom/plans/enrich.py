@@ -35,6 +35,8 @@ def enrich(
     collectors = list(collectors or default_collectors())
     matched = stage(match_alerts(alerts, conn, half_us), "matched")
     uids = matched.select("uid").distinct()
-    own = stage_all({c.name: session_rows(logs[c.name], uids) for c in collectors})
+    own = stage_all(
+        {c.name: c.prepare(session_rows(logs[c.name], uids)) for c in collectors}
+    )
     session = sessions(uids, own, collectors, rules, limit)
     return documents(alerts, matched, session, [c.name for c in collectors])

@@ -219,8 +219,8 @@ def ip_privacy(spark, sf_dir):
 
 @query
 def http_session_stats(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_http")
     collector = http.HttpCollector()
+    rows = collector.prepare(view(spark, sf_dir, "v_http"))
     totals = collector.totals(rows)
     methods = collector.evidence(rows, totals).where(F.col("kind") == "methods_used")
     # Few distinct methods exist, so their list per session stays short.
@@ -255,7 +255,8 @@ def document_content_reasons(spark, sf_dir):
 
 @query
 def http_findings_grouped(spark, sf_dir):
-    hits = http.content_hits(http.tag_content(view(spark, sf_dir, "v_http")))
+    tagged = stage(http.tag_content(view(spark, sf_dir, "v_http")), "tagged")
+    hits = http.content_hits(tagged)
     return http.content_groups(hits).select(
         "uid", joined(text.mask_reasons(F.col("mask"))).alias("reasons"), "count", "source",
         joined("examples", " | ").alias("examples"),
@@ -272,8 +273,9 @@ def http_file_transfers(spark, sf_dir):
 
 @query
 def http_assessment(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_http")
-    s = D.classified(http.HttpCollector(), http.HttpCollector().totals(rows))
+    collector = http.HttpCollector()
+    rows = collector.prepare(view(spark, sf_dir, "v_http"))
+    s = D.classified(collector, collector.totals(rows))
     a = F.col("analysis")
     return s.select(
         "uid", a["overall_assessment"].alias("overall_assessment"),

@@ -22,7 +22,7 @@ def log(spark, kind, rows):
 
 def run(spark, collector, rows, uid="U"):
     """Summary and evidence of one session; None if it is not reported."""
-    logs = log(spark, collector.name, rows)
+    logs = collector.prepare(log(spark, collector.name, rows))
     totals = collector.totals(logs)
     found = [r for r in classified(collector, totals).collect() if r["uid"] == uid]
     items = sorted(
@@ -191,6 +191,7 @@ def test_document_layout(spark):
         "ssl": log(spark, "ssl", [{"server_name": "x.example", "ja3": "00"}]),
         "files": log(spark, "files", [{"fuid": "F"}]),
     }
+    logs["http"] = HttpCollector().prepare(logs["http"])
     session = sessions(uids, logs)
     alerts = spark.createDataFrame([(1, "t", "sig", None), (2, None, None, "cat")],
                                    "alert_id long, timestamp string, rule_name string, "

@@ -39,6 +39,7 @@ def test_hot_community_and_bucket(spark):
 
 def test_hot_session_keeps_all_evidence(spark):
     logs = {n: view(spark, DATA, f"v_{n}") for n in ("http", "dns", "ssl", "files")}
+    logs["http"] = HttpCollector().prepare(logs["http"])
     logs = {n: stage(df.withColumn("uid", F.lit("C0")), n) for n, df in logs.items()}
     collector = DnsCollector()
     want = collector.evidence(logs["dns"], collector.totals(logs["dns"])).count()
@@ -49,7 +50,8 @@ def test_hot_session_keeps_all_evidence(spark):
 
 def test_totals_combine_before_the_shuffle(spark):
     for collector, name in ((HttpCollector(), "v_http"), (DnsCollector(), "v_dns")):
-        plan = collector.totals(view(spark, DATA, name))._jdf.queryExecution().executedPlan()
+        plan = collector.totals(
+            collector.prepare(view(spark, DATA, name)))._jdf.queryExecution().executedPlan()
         text = plan.toString()
         assert "partial_" in text and "collect_list" not in text
 
