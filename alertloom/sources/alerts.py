@@ -48,6 +48,17 @@ def flatten_alerts(nested: DataFrame) -> DataFrame:
     return flat.withColumn("alert_id", alert_hash())
 
 
+def path_value(df: DataFrame, path: str, default: str = "N/A") -> Column:
+    """Text of a dotted path: a flat column of that name first, then the nested field."""
+    found = [F.col(f"`{path}`")] if path in df.columns else []
+    kind = df.schema
+    for step in path.split("."):
+        kind = kind[step].dataType if step in getattr(kind, "names", []) else None
+    if kind is not None and "." in path:
+        found.append(F.col(path))
+    return F.coalesce(*[c.cast("string") for c in found], F.lit(default))
+
+
 def transport(named: Column, message: Column) -> Column:
     """Lower-case transport protocol, from the alert or else from its message."""
     return F.coalesce(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom import constants as K
@@ -36,3 +38,13 @@ def public_suffixes(path: str) -> list[str]:
     with open(path, encoding="utf-8") as lines:
         stripped = (line.strip() for line in lines)
         return [s for s in stripped if s and not s.startswith("//")]
+
+
+def read_rules(path: str) -> list[tuple[str, str, str, str, object]]:
+    """Severity rules from a JSON file: {level: [{collector, path, check, value}, ...]}."""
+    with open(path, encoding="utf-8") as f:
+        by_level = json.load(f)
+    return [
+        (level.lower(), r["collector"], r["path"], r["check"], r["value"])
+        for level, rules in by_level.items() for r in rules
+    ]

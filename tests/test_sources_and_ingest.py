@@ -9,10 +9,11 @@ from alertloom.operators.rules import rule_condition, severity_level
 from alertloom.operators.timefiles import covering_file
 from alertloom.sources import logs
 from alertloom.sources.alerts import (
-    alert_hash, alerts_of_day, document_at, flatten_alerts, read_alert_log, read_alerts_json,
-    read_document_files,
+    alert_hash, alerts_of_day, document_at, flatten_alerts, path_value, read_alert_log,
+    read_alerts_json, read_document_files,
 )
 from alertloom.sources.flows import read_flows
+from alertloom.sources.refdata import public_suffixes, read_rules
 from alertloom.sources.sinks import write_documents
 from alertloom.streaming.ingest import alert_stream, bounded_dedup, start_ingest
 
@@ -183,3 +184,21 @@ def test_bounded_dedup_stream(spark, tmp_path):
      .option("path", out).option("checkpointLocation", str(tmp_path / "c"))
      .trigger(availableNow=True).start().awaitTermination())
     assert spark.read.parquet(out).count() == 2
+
+
+def test_path_value_prefers_flat_columns(spark):
+    df = spark.createDataFrame([("flat", ("nested", None))],
+                               "`rule.name` string, rule struct<name: string, category: string>")
+    row = df.select(path_value(df, "rule.name"), path_value(df, "rule.category"),
+                    path_value(df, "rule.none.x", "?")).first()
+    assert tuple(row) == ("flat", "N/A", "?")
+    only = df.select("rule")
+    assert only.select(path_value(only, "rule.name")).first()[0] == "nested"
+
+
+def test_configuration_files(tmp_path):
+    rules = write_lines(tmp_path / "rules.json", [json.dumps({"HIGH": [
+        {"collector": "dns", "path": "analysis.a", "check": "gte", "value": 3}]})])
+    assert read_rules(rules) == [("high", "dns", "analysis.a", "gte", 3)]
+    suffixes = write_lines(tmp_path / "psl.dat", ["// list", "com", "*.ck", ""])
+    assert public_suffixes(suffixes) == ["com", "*.ck"]
