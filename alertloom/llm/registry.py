@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from alertloom.llm import exact_dedup
+from alertloom.llm import exact_dedup, quality_rules
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 LLM_ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
 }
