@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from alertloom.llm import exact_dedup, quality_rules
+from alertloom.llm import chat_format, exact_dedup, quality_rules
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 LLM_ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
