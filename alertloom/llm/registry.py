@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from alertloom.llm import chat_format, exact_dedup, quality_rules
+from alertloom.llm import chat_format, exact_dedup, quality_rules, token_count
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_chat_format": chat_format.op3_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_token_count": token_count.op10_token_count,
 }
 
 LLM_ORACLES = {
