@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A key filter has this many bitmaps of 4 KB, so its broadcast is 1 MB at the very most.
 FILTER_BITMAPS = 256
@@ -24,6 +24,23 @@ def crc_part(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def hashed_sample(rows: DataFrame, group: str, per_group: int, groups: int = 512) -> DataFrame:
+    """`doc_id` and `group` of the `per_group` rows of each group whose hashed id is smallest.
+
+    The groups' sizes give a hash limit that leaves little more than that many rows, so no task
+    ranks a whole group. Only the `groups` largest groups are sampled, so their sizes can be broadcast.
+    """
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40)
+    near = (
+        rows.select("doc_id", group).join(F.broadcast(sizes), group)
+        .filter(draw * F.col("count") <= 1.5 * per_group + 20)
+    )
+    order = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = near.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= per_group).select("doc_id", group)
+
+
 def key_filter(keys: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A bitmap of the given keys, `_bucket, _bits`, of a size that does not depend on their number.
 

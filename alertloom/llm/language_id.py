@@ -9,9 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from alertloom.llm.common import crc_part
+from alertloom.llm.common import crc_part, hashed_sample
 from alertloom.session import stage
 
 #: Hash buckets of the n-grams of two and three bytes.
@@ -112,12 +112,9 @@ def learning_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int
     """text and lang of a bounded sample: for each language the rows whose hashed id is smallest."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(
         crc_part(F.col("doc_id"), 3) != 1)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ranked = labelled.select("doc_id", "lang").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     chosen = stage(
-        ranked.filter(F.col("_rank") <= per_language).orderBy("_rank", *order).limit(in_all)
-        .select("doc_id").distinct(), "language-sample")
+        hashed_sample(labelled, "lang", per_language).select("doc_id").distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(in_all), "language-sample")
     # At most `in_all` ids, so the broadcast is bounded.
     return stage(labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text"),
                  "language-texts")

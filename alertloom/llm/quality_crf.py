@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from alertloom.llm.common import crc_part
+from alertloom.llm.common import crc_part, hashed_sample
 from alertloom.session import stage
 
 #: Labelled documents learned from, per label.
@@ -155,10 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Crf:
         labels.filter((crc_part(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull())
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = stage(
-        usable.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_label)
-        .filter(F.col("quality").isin(0, 1)).drop("_rank"), "quality-sample")
+    binary = usable.filter(F.col("quality").isin(0, 1))
+    chosen = stage(hashed_sample(binary, "quality", per_label), "quality-sample")
     # At most 2 x per_label ids, so the broadcast is bounded.
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL")
