@@ -92,44 +92,80 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """a, b: every set with two sets of each of its lists, the most central and a random one."""
-    leaders = stage(
-        lists.groupBy("value").agg(
-            F.max(F.struct("weight", "rep", "n")).alias("central"),
-            F.max(F.struct(F.xxhash64("rep").alias("weight"), "rep", "n")).alias("random"))
-        .select("value", F.explode(F.array_distinct(F.array(
-            F.struct(F.col("central.rep").alias("rep"), F.col("central.n").alias("n")),
-            F.struct(F.col("random.rep").alias("rep"), F.col("random.n").alias("n"))))).alias("to")),
-        "leaders")
-    met = lists.join(leaders, "value").filter(_sizes_fit(F.col("n"), F.col("to.n")))
-    pair = F.array_sort(F.array("rep", "to.rep"))
-    return met.filter("rep <> to.rep").select(pair[0].alias("a"), pair[1].alias("b")).distinct()
-
-
-def remaining_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b: all sets that share a list but not yet a component; each pair once.
-
-    Lists within one component are left out before anything is paired.
+def list_leaders(lists: DataFrame) -> DataFrame:
+    """value, pivot, pivot_n, central: two sets of each list, the most central and a random one."""
+    pick = lambda by: F.max(F.struct(by, "rep", "n"))
+    both = lists.groupBy("value").agg(
+        pick(F.col("weight")).alias("c"), pick(F.xxhash64("rep").alias("weight")).alias("r"))
+    as_row = lambda c, central: F.struct(
+        F.col(f"{c}.rep").alias("pivot"), F.col(f"{c}.n").alias("pivot_n"), F.lit(central).alias("central"))
+    return stage(both.select("value", F.inline(F.array(as_row("c", True), as_row("r", False)))), "leaders")
+
+
+def leader_pairs(lists: DataFrame, leaders: DataFrame) -> DataFrame:
+    """a, b: every set with the leaders of each of its lists."""
+    met = lists.join(leaders, "value").filter(_sizes_fit(F.col("n"), F.col("pivot_n")))
+    return met.filter("rep <> pivot").select(
+        F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def open_lists(lists: DataFrame, reach: Column) -> DataFrame:
+    """The lists that hold sets of several components, without sets that fit no size in them.
+
+    `reach` is the largest partner size that a set can be linked with.
+    """
+    sizes = lists.groupBy("value").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"))
+    sizes = stage(sizes.filter("lo <> hi").select("value", "least_n"), "mixed-lists")
+    return lists.join(sizes, "value").filter(reach >= F.col("least_n")).drop("least_n")
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """rep, s: how many shingles of each full set stand in another one too."""
+    rows = sets.select("rep", F.explode("shingles").alias("value"))
+    common = stage(rows.groupBy("value").count().filter("count > 1").select("value"), "common-shingles")
+    marked = mark_keys(rows, key_filter(common, ["value"]), ["value"], "_common").filter("_common")
+    return marked.select("rep", "value").join(common, "value").groupBy("rep").agg(F.count("*").alias("s"))
+
+
+def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders: DataFrame,
+                    met: DataFrame) -> DataFrame:
+    """a, b: sets that share a list, may still be linked, and are in different components; once each.
+
+    A link needs an intersection of `SIMILAR / (100 + SIMILAR)` of both sizes together, and a set
+    cannot share more than the shingles that it has in common with any other listed set. That bound
+    is exact and linear to compute. It leaves out the sets of a large group that were changed
+    so much that they are linked with nothing, before anything is paired.
     """
     named = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "value", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    named = stage(named, "named-postings")
-    mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = stage(mixed.filter("lo <> hi").select("value"), "mixed-lists")
-    open_ = named.join(mixed, "value", "left_semi")
+    mixed = stage(open_lists(stage(named, "named-postings"), F.col("n")), "open-postings")
+    wanted = full.join(stage(mixed.select("rep").distinct(), "open-sets"), "rep", "left_semi")
+    shared = stage(shared_sizes(wanted), "shared-sizes")
+    reach = F.floor(F.col("s") * (100 + SIMILAR) / SIMILAR) - F.col("n")
+    left = stage(mixed.join(shared, "rep").filter(F.col("s") * 100 >= F.col("n") * SIMILAR), "open-postings")
+    left = stage(open_lists(left, reach), "open-postings")
+    pivots = leaders.filter("central").select("value", "pivot")
+    left = left.join(pivots, "value").withColumns(
+        {"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(met, ["a", "b"], "left")
+    left = left.withColumn("i", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("common")))
     # The values of a set's open lists tell in which list a pair meets first; at most SKETCH of them.
-    open_ = stage(open_.withColumn("own", F.sort_array(F.collect_list("value").over(
+    left = stage(left.withColumn("own", F.sort_array(F.collect_list("value").over(
         Window.partitionBy("rep")))), "open-postings")
-    left = open_.select("value", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "own")))
-    right = open_.select("value", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "own")))
+    side = lambda name: left.select(
+        "value", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "s", "i", "component", "own")))
+    need = (F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR)
+    over_pivot = F.least("i_a", "i_b") + F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))
+    unknown = F.col("i_a").isNull() | F.col("i_b").isNull()
+    enough = (F.least("s_a", "s_b") >= need) & (unknown | (over_pivot >= need))
     meets = (
-        (F.col("left.value") == F.col("right.value")) & (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"))
+        (F.col("l.value") == F.col("r.value")) & (F.col("rep_a") < F.col("rep_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & enough & _sizes_fit(F.col("n_a"), F.col("n_b"))
+        & (F.array_min(F.array_intersect("own_a", "own_b")) == F.col("l.value"))
     )
-    pairs = left.alias("left").join(right.alias("right"), meets)
-    first = F.array_min(F.array_intersect("own_a", "own_b")) == F.col("left.value")
-    return pairs.filter(first).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = side("a").alias("l").join(side("b").alias("r"), meets)
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -158,12 +194,13 @@ def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return stage(found.join(reps, "rep", "left_semi"), "full-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with 100 * intersection >= SIMILAR * union over the full sets."""
+def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common, linked: sizes of the intersections of the full sets, and whether they suffice."""
     both = pairs.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    enough = F.col("_n") * 100 >= (F.size("_a") + F.size("_b") - F.col("_n")) * SIMILAR
-    return both.withColumn("_n", common).filter(enough).select("a", "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("common"),
+                          (F.size("_a") + F.size("_b")).alias("_sizes"))
+    linked = F.col("common") * 100 >= (F.col("_sizes") - F.col("common")) * SIMILAR
+    return stage(counted.select("a", "b", "common", linked.alias("linked")), "intersections")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -171,9 +208,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Documents with equal sets form a class first, and one of each class stands for it. Candidates
     come from the inverted lists in two rounds: each set meets leaders of its lists, verified
-    links make components, and then sets of one list that are still in different components
-    all meet. So a large group of near copies costs a few comparisons per member, no link between
-    components is missed, and pairs within one component, which change nothing, are not formed.
+    links make components, and then sets of one list that are still in different components and
+    may be linked at all meet. So a large group of near copies costs a few comparisons per member, no
+    link between components is missed, and pairs within one, which change nothing, are not formed.
 
     Documents without a word, null texts included, link with nothing. A row without an id belongs
     to its class but names none; it stays only if no row of its class has an id. Rows that share an
@@ -190,12 +227,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lists = postings(named)
     full = full_sets(docs, stage(lists.select("rep").distinct(), "listed"))
 
-    central = stage(likely_pairs(stage(leader_pairs(lists), "leader-pairs"), named), "likely-pairs")
-    links = stage(verified(central, full), "links")
-    parts = components(links)
-    rest = stage(likely_pairs(stage(remaining_pairs(lists, parts), "remaining-pairs"), named), "likely-pairs")
-    more = stage(verified(rest, full), "links")
-    parts = components(links.union(more))
+    leaders = list_leaders(lists)
+    likely = stage(likely_pairs(stage(leader_pairs(lists, leaders), "leader-pairs"), named), "likely-pairs")
+    met = intersections(likely, full)
+    links = met.filter("linked").select("a", "b")
+    rest = stage(remaining_pairs(lists, components(links), full, leaders, met.drop("linked")), "remaining-pairs")
+    more = intersections(stage(likely_pairs(rest, named), "likely-pairs"), full)
+    parts = components(links.union(more.filter("linked").select("a", "b")))
 
     placed = stage(
         classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
