@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
+import numpy as np
+
 
 
 
@@ -48,3 +50,39 @@ class Merger:
         return known
 
 
+class PairTable:
+    """A hash table from integers to two integers that is read and filled by whole arrays."""
+
+    EMPTY = -1
+
+    def __init__(self, bits: int = 16) -> None:
+        self.bits, self.size = bits, 0
+        self.keys = np.full(1 << bits, self.EMPTY, np.int64)
+        self.first = np.zeros(1 << bits, np.int32)
+        self.second = np.zeros(1 << bits, np.int16)
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the empty slot where it would."""
+        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = (spread >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != self.EMPTY))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[open_]]
+            open_ = open_[(found != keys[open_]) & (found != self.EMPTY)]
+        return at
+
+    def put(self, keys: np.ndarray, first_values: np.ndarray, second_values: np.ndarray) -> None:
+        if (self.size + len(keys)) * 2 >= len(self.keys):
+            used = self.keys != self.EMPTY
+            old = self.keys[used], self.first[used], self.second[used]
+            self.__init__(max(self.bits, int(self.size + len(keys)).bit_length()) + 1)
+            self.put(*old)
+        self.size += len(keys)
+        left = np.arange(len(keys))
+        while len(left):  # of keys that want one slot, one gets it in each round
+            at = self.place(keys[left])
+            _, first = np.unique(at, return_index=True)
+            mine, at = left[first], at[first]
+            self.keys[at], self.first[at], self.second[at] = keys[mine], first_values[mine], second_values[mine]
+            left = np.delete(left, first)

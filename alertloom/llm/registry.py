@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from alertloom.llm import chat_format, exact_dedup, language_id, minhash_dedup, quality_crf, quality_rules, token_count
+from alertloom.llm import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    minhash_dedup,
+    quality_crf,
+    quality_rules,
+    sentence_pieces,
+    source_mix,
+    token_count,
+)
 
 LLM_QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_sentence_pieces": sentence_pieces.op2_sentence_pieces,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_language_id": language_id.op5_language_id,
+    "op6_source_mix": source_mix.op6_source_mix,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_token_count": token_count.op10_token_count,

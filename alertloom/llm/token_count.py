@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm.bpe_core import Merger
+from alertloom.llm.bpe_core import Merger, PairTable
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -130,44 +130,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Transitions:
-    """State and byte to next state and added tokens: a hash table that is read by whole arrays."""
-
-    EMPTY = -1
-
-    def __init__(self, bits: int = 16) -> None:
-        self.bits, self.size = bits, 0
-        self.keys = np.full(1 << bits, self.EMPTY, np.int64)
-        self.following = np.zeros(1 << bits, np.int32)
-        self.adds = np.zeros(1 << bits, np.int16)
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key stands, or the empty slot where it would."""
-        spread = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        at = (spread >> np.uint64(64 - self.bits)).astype(np.int64)
-        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != self.EMPTY))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[at[open_]]
-            open_ = open_[(found != keys[open_]) & (found != self.EMPTY)]
-        return at
-
-    def put(self, keys: np.ndarray, following: np.ndarray, adds: np.ndarray) -> None:
-        if (self.size + len(keys)) * 2 >= len(self.keys):
-            used = self.keys != self.EMPTY
-            old = self.keys[used], self.following[used], self.adds[used]
-            self.__init__(max(self.bits, int(self.size + len(keys)).bit_length()) + 1)
-            self.put(*old)
-        self.size += len(keys)
-        left = np.arange(len(keys))
-        while len(left):  # of keys that want one slot, one gets it in each round
-            at = self.place(keys[left])
-            _, first = np.unique(at, return_index=True)
-            mine, at = left[first], at[first]
-            self.keys[at], self.following[at], self.adds[at] = keys[mine], following[mine], adds[mine]
-            left = np.delete(left, first)
-
-
 class WordTransducer:
     """Token counts of words, one byte at a time.
 
@@ -192,7 +154,7 @@ class WordTransducer:
         self.clear()
 
     def clear(self) -> None:
-        self.table = Transitions()
+        self.table = PairTable()
         self.keys: list = [(b"", ((None, 0),))]
         self.numbers = {self.keys[0]: 0}
 
@@ -246,8 +208,8 @@ class WordTransducer:
                 made = np.array([self.transition(int(k) // 256, int(k) % 256) for k in new])
                 self.table.put(new, made[:, 0], made[:, 1])
                 slot = self.table.place(key)
-            total[:n] += self.table.adds[slot]
-            state[:n] = self.table.following[slot]
+            total[:n] += self.table.second[slot]
+            state[:n] = self.table.first[slot]
         counts = np.empty(len(order), np.int64)
         counts[order] = total
         return counts
