@@ -21,7 +21,7 @@ PER_LANGUAGE, IN_ALL = 1500, 12_000
 #: A prediction is flagged if the runner-up comes within this share of the score.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-SLICE = 1 << 20
+SLICE = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -80,7 +80,7 @@ class Model:
             size += len(text)
             if size >= SLICE or i == len(texts) - 1:
                 buckets, starts, counts = grams([texts[k].encode() for k in held])
-                sums = np.add.reduceat(self.weights[buckets], starts, axis=0)
+                sums = np.add.reduceat(self.weights[buckets], starts, axis=0, dtype=np.float64)
                 found[held] = sums / counts[:, None]
                 held, size = [], 0
         return (found - self.shift) / self.scale
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     weights = np.zeros((BUCKETS, bits))
     for b in range(bits):
         weights[:, b] = np.log(share[code[:, b] > 0].mean(0) / share[code[:, b] < 0].mean(0))
-    model = Model(languages, code, weights, np.zeros(bits), np.ones(bits), np.ones(bits))
+    model = Model(languages, code, weights.astype(np.float32), np.zeros(bits), np.ones(bits), np.ones(bits))
     if bits:
         margins, own = _sample_margins(rows, model)
         sides = code[own]

@@ -18,7 +18,7 @@ from alertloom.llm.bpe_core import Merger, PairTable
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of documents taken together; their distinct words are indexed as one text.
-SLICE = 4_000_000
+SLICE = 2_000_000
 #: Known pairs of neighbours before the table is cleared and filled again.
 MAX_PAIRS = 1_000_000
 NORMAL, BYTE = 1, 6
@@ -128,7 +128,7 @@ def occurrences(codes: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nd
     n = last - first
     ends = np.cumsum(n)
     rows = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(first, n)
-    return order[rows], np.repeat(np.arange(len(n)), n)
+    return order[rows].astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
 
 
 def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -143,20 +143,21 @@ def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     ends = np.cumsum(sizes)
     laid = np.insert(codes, ends, _END)
     begins = ends - sizes + np.arange(len(words))
-    offset = np.arange(len(laid)) - np.repeat(begins, sizes + 1)
+    offset = (np.arange(len(laid)) - np.repeat(begins, sizes + 1)).astype(np.int32)
     place, piece = occurrences(laid, model)
     single = np.zeros(len(laid), bool)
     single[place[model.sizes[piece] == 1]] = True
     unknown = np.flatnonzero(~single & (laid != _END))
     n = len(model.pieces)
-    place = np.concatenate([place, unknown])
-    piece = np.concatenate([piece, n + laid[unknown]])
-    size = np.where(piece < n, model.sizes[np.minimum(piece, n - 1)], 1)
+    place = np.concatenate([place, unknown.astype(np.int32)])
+    piece = np.concatenate([piece, (n + laid[unknown]).astype(np.int32)])
+    width = np.append(model.sizes, 1).astype(np.int32)
+    size = width[np.minimum(piece, n)]
     reach = offset[place] + size
     order = np.argsort(reach.astype(np.uint16) if reach.max(initial=0) < 65_536 else reach, kind="stable")
     place, piece, size, reach = place[order], piece[order], size[order], reach[order]
     steps = np.searchsorted(reach, np.arange(1, int(sizes.max(initial=0)) + 2))
-    reached = np.full(len(laid) + 1, -1, np.int64)
+    reached = np.full(len(laid) + 1, -1, np.int32)
     for a, b in zip(steps[:-1], steps[1:], strict=True):
         p, k = place[a:b], piece[a:b]
         at_begin = offset[p] == 0
@@ -171,7 +172,7 @@ def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     while len(at):
         k = reached[at]
         taken.append((owner, k))
-        at = at - np.where(k < n, model.sizes[np.minimum(k, n - 1)], 1)
+        at = at - width[np.minimum(k, n)]
         more = at > begins[owner]
         at, owner = at[more], owner[more]
     own = np.zeros(len(words), np.int64)
