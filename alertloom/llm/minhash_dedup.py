@@ -24,6 +24,8 @@ SKETCH = 48
 SHARED = 18
 #: Pairs whose estimated similarity is lower are not verified; 0.75 is 5 standard errors above.
 ESTIMATE = 0.42
+#: How often the bound on what a set can share is tightened; each round is exact.
+BOUND_ROUNDS = 3
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -140,11 +142,13 @@ def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders
     named = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "value", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = stage(open_lists(stage(named, "named-postings"), F.col("n")), "open-postings")
-    wanted = full.join(stage(mixed.select("rep").distinct(), "open-sets"), "rep", "left_semi")
-    shared = stage(shared_sizes(wanted), "shared-sizes")
     reach = F.floor(F.col("s") * (100 + SIMILAR) / SIMILAR) - F.col("n")
-    left = stage(mixed.join(shared, "rep").filter(F.col("s") * 100 >= F.col("n") * SIMILAR), "open-postings")
-    left = stage(open_lists(left, reach), "open-postings")
+    left = mixed
+    for _ in range(BOUND_ROUNDS):  # sets that are left out take shingles from the others' counts
+        names = stage(left.select("rep").distinct(), "open-sets")
+        shared = stage(shared_sizes(full.join(names, "rep", "left_semi")), "shared-sizes")
+        left = left.drop("s").join(shared, "rep").filter(F.col("s") * 100 >= F.col("n") * SIMILAR)
+        left = stage(open_lists(stage(left, "open-postings"), reach), "open-postings")
     pivots = leaders.filter("central").select("value", "pivot")
     left = left.join(pivots, "value").withColumns(
         {"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(met, ["a", "b"], "left")
