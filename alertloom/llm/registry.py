@@ -11,6 +11,7 @@ from alertloom.llm import (
     quality_rules,
     sentence_pieces,
     source_mix,
+    suffix_dedup,
     token_count,
 )
 
@@ -21,6 +22,7 @@ LLM_QUERIES = {
     "op4_quality_crf": quality_crf.op4_quality_crf,
     "op5_language_id": language_id.op5_language_id,
     "op6_source_mix": source_mix.op6_source_mix,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_token_count": token_count.op10_token_count,
