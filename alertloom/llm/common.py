@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: Bytes of rows that a Python task holds at a time, but for a single longer row.
+BATCH_BYTES = 4 << 20
 #: A key filter has this many bitmaps of 4 KB, so its broadcast is 1 MB at the very most.
 FILTER_BITMAPS = 256
 _BITS = 32_768
@@ -15,6 +17,11 @@ _BITS = 32_768
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cuts Arrow batches of this session by bytes, so that rows of any length need the same memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone; every other character stays."""
     return F.translate(text, UPPER, LOWER)

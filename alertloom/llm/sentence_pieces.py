@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from alertloom.llm.bpe_core import Merger, PairTable
+from alertloom.llm.common import bound_batches
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
@@ -49,7 +50,7 @@ class PieceModel:
             else:
                 self.raw.append(p.piece.encode() if p.type == NORMAL else b"")
         score = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
-        self.merger = Merger(lambda a, b: score.get(a + b), MAX_PAIRS)
+        self.merger = Merger(lambda a, b: score.get(a + b), 1)  # `fitting` remembers pairs
         # Pieces that merging can produce, sorted; the others never stand in an encoding.
         self.pieces = sorted(p for p in self.ids if self.merger.merge(list(p)) == [p])
         self.sizes = np.array([len(p) for p in self.pieces])
@@ -244,6 +245,7 @@ def encode_docs(docs: DataFrame, path: str | None = None) -> DataFrame:
     not looked at; an empty table gives an empty result.
     """
     file = _path(path)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,6 +267,7 @@ def decode_docs(encoded: DataFrame, path: str | None = None) -> DataFrame:
     A text may hold the character that stands for a blank; like the library, decoding gives a blank for it.
     """
     file = _path(path)
+    bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
