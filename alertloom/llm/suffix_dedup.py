@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.llm.bwt_repeats import repeated_starts
-from alertloom.llm.common import key_filter, mark_keys
+from alertloom.llm.common import bound_batches, key_filter, mark_keys
 from alertloom.llm.window_anchors import LENGTH, anchored
 from alertloom.session import stage
 
@@ -191,6 +191,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks. A text is known by the digest of its bytes, so null ids, repeated ids and repeated rows
     need no care: every row is answered. Null texts count as empty. Other columns are not looked at.
     """
+    bound_batches(docs.sparkSession)
     spans = repeated_spans(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
