@@ -88,8 +88,9 @@ def without_rows(docs: DataFrame, dropped: DataFrame, key: dict[str, Column]) ->
     names = [f"__{k}" for k in key]
     gone = dropped.select(*(F.col(k).alias(f"__gone_{k}") for k in key)).distinct()
     bitmap = key_filter(gone, gone.columns)
-    marked = mark_keys(docs.withColumns({f"__{k}": v for k, v in key.items()}), bitmap, names, "__seen")
+    packed = docs.select(F.struct("*").alias("row"), *(v.alias(f"__{k}") for k, v in key.items()))  # no name can clash
+    marked = mark_keys(packed, bitmap, names, "__seen")
     suspects = marked.filter("__seen")
     same = reduce(and_, (F.col(f"__{k}").eqNullSafe(F.col(f"__gone_{k}")) for k in key))
     left = suspects.join(gone, same, "left_anti")
-    return marked.filter(~F.col("__seen")).unionByName(left).drop(*names, "__seen")
+    return marked.filter(~F.col("__seen")).unionByName(left).select("row.*")

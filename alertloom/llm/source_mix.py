@@ -158,9 +158,10 @@ def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | Non
                budget: float = BUDGET) -> DataFrame:
     """The sampled documents with all their columns; each is judged within the scan, without a join back."""
     wanted = TARGETS if targets is None else targets
-    facts = sides(docs, wanted)
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "lang", "source")  # no name can clash
+    facts = sides(packed, wanted)
     mix = fit(facts, wanted, budget)
-    return with_probability(facts, mix).filter("sampled").select(*docs.columns)
+    return with_probability(facts, mix).filter("sampled").select("row.*")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
