@@ -29,7 +29,7 @@ def code_words(n: int, seed: int = 7) -> np.ndarray:
     """A row of -1 and 1 for each of n languages: exhaustive up to 5, else the best of random codes."""
     if n <= 5:
         columns = [[1 if (k >> i) & 1 else -1 for i in range(n)] for k in range(1, 1 << max(n - 1, 0))]
-        return np.array(columns, np.int8).reshape(-1, n).T
+        return np.array(columns, np.int8).reshape(len(columns), n).T
     random, bits = np.random.default_rng(seed), math.ceil(10 * math.log2(n))
     best, distance = None, -1
     for _ in range(50):
