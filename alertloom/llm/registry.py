@@ -10,7 +10,10 @@ from alertloom.llm import (
     quality_crf,
     quality_rules,
     sentence_pieces,
+    simhash_dedup,
+    source_divergence,
     source_mix,
+    spelling_variants,
     suffix_dedup,
     token_count,
 )
@@ -26,10 +29,14 @@ LLM_QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_token_count": token_count.op10_token_count,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_simhash_dedup": simhash_dedup.op12_simhash_dedup,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 LLM_ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
