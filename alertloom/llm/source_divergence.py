@@ -19,6 +19,8 @@ MIN_DOCS = 10
 UNIT, ADDED = 1_000_000_000, 2
 #: Terms that are reported for each source.
 TOP_TERMS = 10
+#: Terms of groups whose counts a task holds before it hands them on, but for those of one more batch.
+HELD_TERMS = 1 << 18
 #: Term numbers that a bitmap covers.
 CHUNK = 1024
 #: Sources whose bitmaps one task holds at a time, twice.
@@ -32,24 +34,30 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences, and documents that hold the term; null term: none in the group.
 
     Null text, lang and source are read as empty. Every group has a row with a null term, so that it
-    is known even without terms. Each batch is counted before anything is shuffled.
+    is known even without terms. Each task counts before anything is shuffled.
     """
 
+    def rows_of(found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]]) -> pa.RecordBatch:
+        rows = [(*group, None, 0, 0) for group in found]
+        rows += [(*group, term.decode(), n, held[term])
+                 for group, (counts, held) in found.items() for term, n in counts.items()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(_COUNTS)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         for batch in batches:
-            found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
             for lang, source, text in zip(
                     batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
                 own = Counter(text.as_py().encode().translate(_TERMS).split())
                 counts, held = found.setdefault((lang, source), (Counter(), Counter()))
                 counts.update(own)
                 held.update(own.keys())
-            rows = [(*group, None, 0, 0) for group in found]
-            rows += [(*group, term.decode(), n, held[term])
-                     for group, (counts, held) in found.items() for term, n in counts.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNT_TYPES, strict=True)] if rows
-                else [pa.array([], t) for t in _COUNT_TYPES], ["lang", "source", "term", "n", "docs"])
+            if sum(len(counts) for counts, _ in found.values()) >= HELD_TERMS:
+                yield rows_of(found)
+                found = {}
+        yield rows_of(found)
 
     empty = F.lit("")
     narrow = docs.select(*(F.coalesce(c, empty).alias(c) for c in ("lang", "source", "text")))
@@ -57,7 +65,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-_COUNT_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+_COUNTS = pa.schema([(c, pa.string()) for c in ("lang", "source", "term")] + [(c, pa.int64()) for c in ("n", "docs")])
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
