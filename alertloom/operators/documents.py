@@ -13,7 +13,7 @@ from alertloom.operators.collectors.dns import DnsCollector
 from alertloom.operators.collectors.files import FilesCollector
 from alertloom.operators.collectors.http import HttpCollector
 from alertloom.operators.collectors.ssl import SslCollector
-from alertloom.operators.rules import REFERENCE, Rule, severity_level
+from alertloom.operators.rules import REFERENCE, Rule, severity_level, with_levels
 from alertloom.session import stage, stage_all
 
 LEVELS = [*K.SEVERITY_LEVELS, REFERENCE]
@@ -26,7 +26,7 @@ def default_collectors() -> list[Collector]:
 
 def classified(collector: Collector, totals: DataFrame,
                rules: Sequence[Rule] = K.SEVERITY_RULES) -> DataFrame:
-    """The summary of each reported session with its severity `level`."""
+    """The summary of each reported session, with its severity `level` if it stands alone."""
     s = collector.summary(totals)
     return s.withColumn("level", severity_level(collector.name, s.schema, rules))
 
@@ -37,9 +37,9 @@ def session_summaries(uids: DataFrame, totals: dict[str, DataFrame],
     """One row per uid, with a struct (analysis, statistics, context, level) per collector."""
     out = uids.select("uid").distinct()
     for c in collectors:
-        block = F.struct("analysis", "statistics", "context", "level").alias(c.name)
-        out = out.join(classified(c, totals[c.name], rules).select("uid", block), "uid", "left")
-    return out
+        block = F.struct("analysis", "statistics", "context").alias(c.name)
+        out = out.join(c.summary(totals[c.name]).select("uid", block), "uid", "left")
+    return with_levels(out, [c.name for c in collectors], rules)
 
 
 def session_evidence(logs: dict[str, DataFrame], totals: dict[str, DataFrame],
@@ -188,14 +188,15 @@ def _json_connection() -> Column:
     return F.when(c.isNotNull(), c.withField("analysis", analysis))
 
 
-def attach_sessions(alerts: DataFrame, matched: DataFrame, session: DataFrame) -> DataFrame:
+def attach_sessions(alerts: DataFrame, matched: DataFrame, session: DataFrame,
+                    id_col: str = "alert_id") -> DataFrame:
     """Alerts left-joined with their connection and the evidence of its session.
 
-    Unmatched alerts get a key of their own, so they do not meet on one join partition.
+    `matched` has the session's key as `scope`, or else its uid is the key. Unmatched alerts keep
+    a null key, which an outer join leaves where it is.
     """
-    known = alerts.join(matched, "alert_id", "left").withColumn(
-        "_key", F.coalesce("uid", F.concat(F.lit("\0"), F.col("alert_id").cast("string")))
-    )
+    key = "scope" if "scope" in matched.columns else "uid"
+    known = alerts.join(matched.withColumn("_key", F.col(key)), id_col, "left")
     return (
         known.join(session.withColumnRenamed("uid", "_key"), "_key", "left").drop("_key")
         .withColumn("part", F.coalesce("part", F.lit(0)))
@@ -205,9 +206,13 @@ def attach_sessions(alerts: DataFrame, matched: DataFrame, session: DataFrame) -
 
 
 def documents(alerts: DataFrame, matched: DataFrame, session: DataFrame,
-              collectors: Sequence[str] = ("http", "dns", "ssl", "files")) -> DataFrame:
-    """One row per alert (and evidence part): typed blocks and the JSON document."""
-    joined = attach_sessions(alerts, matched, session)
+              collectors: Sequence[str] = ("http", "dns", "ssl", "files"),
+              id_col: str = "alert_id") -> DataFrame:
+    """One row per alert row (and evidence part): typed blocks and the JSON document.
+
+    `id_col` tells the rows of `alerts` apart, also where alerts are equal.
+    """
+    joined = attach_sessions(alerts, matched, session, id_col)
     for c in collectors:
         joined = joined.withColumn(f"_{c}", evidence_payload(c))
     levels = {f"{c}_level": F.col(c)["level"] for c in collectors}
@@ -215,7 +220,7 @@ def documents(alerts: DataFrame, matched: DataFrame, session: DataFrame,
     for c in collectors:
         has_evidence = has_evidence | F.col(c).isNotNull()
     return joined.withColumn("evidence", evidence_block(collectors)).select(
-        "alert_id", "timestamp", "rule_name", "part", "parts", "uid",
+        *dict.fromkeys([id_col, "alert_id"]), "timestamp", "rule_name", "part", "parts", "uid",
         F.col("connection").isNotNull().alias("has_connection"),
         has_evidence.alias("has_evidence"),
         *[level.alias(n) for n, level in levels.items()],

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.operators.collectors.base import Collector
 from alertloom.operators.documents import PART_LIMIT, default_collectors, documents, sessions
-from alertloom.operators.match import HALF_US, match_alerts, session_rows
+from alertloom.operators.match import (
+    HALF_US, band_hours, hour_folders, match_alerts, scoped_rows, session_scopes, with_row_key,
+)
 from alertloom.session import stage, stage_all
-from alertloom.sources.logs import prune_to
+from alertloom.sources.logs import in_folders, prune_to
 
 
 def pruned_conn(alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US) -> DataFrame:
@@ -22,21 +24,48 @@ def pruned_conn(alerts: DataFrame, conn: DataFrame, half_us: int = HALF_US) -> D
     return prune_to(conn, span["a"] - half_us, span["b"] + half_us)
 
 
+def scoped_logs(alerts: DataFrame, matched: DataFrame, logs: dict[str, DataFrame],
+                half_us: int = HALF_US, id_col: str = "alert_id",
+                ) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The scopes of matched alerts (id, uid, hours, scope), and the rows of each log in them.
+
+    Partitioned logs are read in the folders of these hours alone.
+    """
+    scopes = stage(session_scopes(alerts, matched, half_us, id_col), "scopes")
+    folders = scopes.select(F.explode(hour_folders(F.col("hours"))).alias("f")).select("f.*")
+    return scopes, {
+        name: scoped_rows(in_folders(rows, folders), scopes) for name, rows in logs.items()}
+
+
+def band_folders(alerts: DataFrame, half_us: int = HALF_US) -> DataFrame:
+    """dt, hour of the folders that the bands of alerts touch."""
+    hours = band_hours(F.col("event_us"), half_us)
+    timed = alerts.where(F.col("event_us").isNotNull())
+    return timed.select(F.explode(hour_folders(hours)).alias("f")).select("f.*")
+
+
 def enrich(
     alerts: DataFrame, conn: DataFrame, logs: dict[str, DataFrame],
     collectors: Sequence[Collector] | None = None, rules=K.SEVERITY_RULES,
-    half_us: int = HALF_US, limit: int = PART_LIMIT,
+    half_us: int = HALF_US, limit: int = PART_LIMIT, id_col: str | None = None,
 ) -> DataFrame:
-    """Documents of all alerts.
+    """Documents of all alerts, one for each row, also where alerts are repeated.
 
-    Matches and the log rows of matched sessions are staged: each log is read once, and every
-    aggregate after that works on the few rows that concern an alert.
+    The evidence of an alert is what the logs hold on its connection in the hours that its band
+    touches, so it does not depend on other alerts of the run, and partitioned logs are read in
+    the folders of those hours alone. Matches and the log rows of matched sessions are staged:
+    each log is read once, and every aggregate after that works on the few rows that concern
+    an alert. `id_col` names a column that tells the rows apart; without it they are numbered.
     """
     collectors = list(collectors or default_collectors())
-    matched = stage(match_alerts(alerts, conn, half_us), "matched")
-    uids = matched.select("uid").distinct()
-    own = stage_all(
-        {c.name: c.prepare(session_rows(logs[c.name], uids)) for c in collectors}
-    )
+    if id_col is None:
+        alerts, id_col = with_row_key(alerts), "alert_row"
+    near = in_folders(conn, band_folders(alerts, half_us))
+    matched = stage(match_alerts(alerts, near, half_us, id_col), "matched")
+    scopes, rows = scoped_logs(alerts, matched, {c.name: logs[c.name] for c in collectors},
+                               half_us, id_col)
+    own = stage_all({c.name: c.prepare(rows[c.name]) for c in collectors})
+    uids = scopes.select(F.col("scope").alias("uid"))
     session = sessions(uids, own, collectors, rules, limit)
-    return documents(alerts, matched, session, [c.name for c in collectors])
+    told = matched.join(scopes.select(id_col, "scope"), id_col)
+    return documents(alerts, told, session, [c.name for c in collectors], id_col)

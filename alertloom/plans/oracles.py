@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from alertloom import constants as K
 from alertloom.functions.text import CONTENT_REASONS
-from alertloom.plans.views import ansi_view
+from alertloom.plans.views import ansi_timed_view, ansi_view
 
 ORACLES: dict[str, str] = {}
 
@@ -77,7 +77,7 @@ def match_ctes(tag: str, condition: str, extra: str = "true") -> str:
       from v_alerts a join v_conn c on {condition} and abs(c.ts_us - a.event_us) < 660000000
       where {extra}),
     {tag}_best as (select alert_id, uid from (select *, row_number() over (partition by alert_id
-      order by length desc, ts_us, row_id) as rn from {tag}_cand) where rn = 1),
+      order by length desc, ts_us, row_id) as rn from {tag}_cand) where rn = 1 and uid is not null),
     {tag} as (select alert_id, uid, row_id as conn_row from (select c.*, row_number() over (
       partition by c.alert_id order by c.ts_us desc, c.row_id desc) as rn
       from {tag}_cand c join {tag}_best b on c.alert_id = b.alert_id and c.uid = b.uid)
@@ -85,9 +85,11 @@ def match_ctes(tag: str, condition: str, extra: str = "true") -> str:
 
 
 COMMUNITY_MATCH = match_ctes("by_id", "a.community_id = c.community_id")
+FIRST_HOUR, LAST_HOUR = (f"((a.event_us {side} 659999999) // 3600000000)" for side in "-+")
 TUPLE_MATCH = match_ctes(
     "by_tuple", BY_TUPLE,
-    "not exists (select 1 from v_conn k where k.community_id = a.community_id)",
+    "not exists (select 1 from v_conn k where k.community_id = a.community_id "
+    f"and k.ts_us // 3600000000 between {FIRST_HOUR} and {LAST_HOUR})",
 )
 MATCHED = f"""{COMMUNITY_MATCH}, {TUPLE_MATCH},
     matched as (select *, 'community' as matched_by from by_id
@@ -99,6 +101,31 @@ oracle("alert_match_all",
        """select a.alert_id, m.uid, m.matched_by, m.conn_row
        from v_alerts a left join matched m on a.alert_id = m.alert_id""",
        "v_alerts", "v_conn", ctes=MATCHED)
+LOGS = ("http", "dns", "ssl", "files")
+#: The logs as the alerts of a session see them: `uid` is the session with the hours it is seen in.
+SCOPED = f"""{MATCHED},
+    scopes as (select m.alert_id, m.uid, m.conn_row, {FIRST_HOUR} as first_hour, {LAST_HOUR} as last_hour,
+        concat(m.uid, '@', {FIRST_HOUR}, case when {LAST_HOUR} > {FIRST_HOUR}
+          then concat('-', {LAST_HOUR}) else '' end) as scope
+      from matched m join v_alerts a on m.alert_id = a.alert_id),
+    spans as (select distinct uid, scope, first_hour, last_hour from scopes),
+    """ + ", ".join(ansi_timed_view(f"v_{n}", f"raw_{n}") for n in LOGS) + ", " + ", ".join(
+    f"""v_{n} as (select r.* exclude (uid), s.scope as uid from raw_{n} r join spans s
+      on r.uid = s.uid and r.ts_us // 3600000000 between s.first_hour and s.last_hour)"""
+    for n in LOGS)
+oracle("alert_repeat_match",
+       """select a.alert_id, m.uid, m.matched_by, m.conn_row from (
+         select alert_id from v_alerts
+         union all select alert_id from v_alerts, range(2) where alert_id % 3 = 0) a
+       left join matched m on a.alert_id = m.alert_id""",
+       "v_alerts", "v_conn", ctes=MATCHED)
+oracle("session_scan_pruned",
+       """select uid, log, count(*) as n from (
+       select uid, 'http' as log from v_http union all select uid, 'dns' from v_dns
+       union all select uid, 'ssl' from v_ssl union all select uid, 'files' from v_files
+       union all select s.scope, 'conn' from v_conn c join spans s on c.uid = s.uid
+         and c.ts_us // 3600000000 between s.first_hour and s.last_hour) group by uid, log""",
+       "v_alerts", "v_conn", ctes=SCOPED)
 oracle("session_fan_out",
        """select uid, log, count(*) as n from (
        select uid, 'http' as log from v_http union all select uid, 'dns' from v_dns
@@ -553,18 +580,49 @@ oracle("files_rollup",
 
 # --- documents and verdicts -----------------------------------------------------------------------
 
-ALL_VIEWS = ["v_alerts", "v_conn", "v_http", "v_dns", "v_ssl", "v_files"]
-FACTS = f"""{MATCHED}, {HTTP_SUMMARY}, {DNS_SUMMARY}, {SSL_SUMMARY}, {FILES},
+ALL_VIEWS = ["v_alerts", "v_conn"]
+#: Which collector takes each level: levels in order, within a level the rules in order.
+PICKS = """
+    rule_flags as (select k.uid, coalesce(h.level = 'medium', false) as http_medium,
+        coalesce(starts_with(d.overall_assessment, 'Potential Threat'), false) as dns_critical,
+        coalesce(d.observed_query_pattern <> 'Normal', false) as dns_high,
+        coalesce(starts_with(d.observed_ttl_behavior, 'Low'), false) as dns_low,
+        coalesce(f.highest_threat_level = 'Critical', false) as files_critical,
+        coalesce(f.suspicious_files_count >= 1, false) as files_medium,
+        coalesce(starts_with(s.overall_assessment, 'High Confidence'), false) as ssl_critical,
+        coalesce(starts_with(s.overall_assessment, 'Informational'), false) as ssl_medium,
+        coalesce(s.handshake_status = 'Failed', false) as ssl_low
+      from (select distinct scope as uid from spans) k left join http_sessions h on k.uid = h.uid
+      left join dns_sessions d on k.uid = d.uid left join ssl_levels s on k.uid = s.uid
+      left join file_levels f on k.uid = f.uid),
+    critical_pick as (select *, case when dns_critical then 'dns' when files_critical then 'files'
+      when ssl_critical then 'ssl' else '' end as critical from rule_flags),
+    high_pick as (select *, case when dns_high and critical <> 'dns' then 'dns' else '' end as high
+      from critical_pick),
+    medium_pick as (select *, case when http_medium then 'http'
+      when files_medium and critical <> 'files' then 'files'
+      when ssl_medium and critical <> 'ssl' then 'ssl' else '' end as medium from high_pick),
+    picks as (select *, case when dns_low and 'dns' not in (critical, high) then 'dns'
+      when ssl_low and 'ssl' not in (critical, medium) then 'ssl' else '' end as low
+      from medium_pick)"""
+
+
+def level_sql(collector: str, key: str) -> str:
+    whens = " ".join(f"when p.{lv} = '{collector}' then '{lv}'" for lv in K.SEVERITY_LEVELS)
+    return f"case when {key} is not null then case {whens} else 'reference' end end as {collector}_level"
+
+
+FACTS = f"""{SCOPED}, {HTTP_SUMMARY}, {DNS_SUMMARY}, {SSL_SUMMARY}, {FILES}, {PICKS},
     facts as (select a.alert_id, a.rule_name, a.rule_category, m.uid is not null as has_connection,
         coalesce(h.uid, d.uid, s.uid, f.uid) is not null as has_evidence,
-        h.level as http_level, d.level as dns_level, s.level as ssl_level,
-        f.level as files_level, case when m.uid is not null then {DIRECTION} end as direction,
+        {level_sql('http', 'h.uid')}, {level_sql('dns', 'd.uid')}, {level_sql('ssl', 's.uid')},
+        {level_sql('files', 'f.uid')}, case when m.uid is not null then {DIRECTION} end as direction,
         h.total_requests as http_requests, d.total_queries as dns_queries,
         f.total_files_analyzed as n_files
-      from v_alerts a left join matched m on a.alert_id = m.alert_id
-      left join v_conn c on m.conn_row = c.row_id
-      left join http_sessions h on m.uid = h.uid left join dns_sessions d on m.uid = d.uid
-      left join ssl_levels s on m.uid = s.uid left join file_levels f on m.uid = f.uid)"""
+      from v_alerts a left join scopes m on a.alert_id = m.alert_id
+      left join v_conn c on m.conn_row = c.row_id left join picks p on m.scope = p.uid
+      left join http_sessions h on m.scope = h.uid left join dns_sessions d on m.scope = d.uid
+      left join ssl_levels s on m.scope = s.uid left join file_levels f on m.scope = f.uid)"""
 LEVEL_COLUMNS = ("has_connection, has_evidence, http_level, dns_level, ssl_level, files_level")
 oracle("evidence_levels", f"select alert_id, {LEVEL_COLUMNS} from facts", *ALL_VIEWS, ctes=FACTS)
 oracle("document_facts",

@@ -13,8 +13,8 @@ from alertloom.operators import (
 from alertloom.operators.collectors import conn as conn_c, dns, files, http, ssl
 from alertloom.operators.numbering import number_rows
 from alertloom.operators.timefiles import covering_file
-from alertloom.plans.enrich import enrich, pruned_conn
-from alertloom.plans.views import table, view
+from alertloom.plans.enrich import band_folders, enrich, pruned_conn, scoped_logs
+from alertloom.plans.views import table, timed_view, view
 from alertloom.session import new_table_dir, stage
 from alertloom.sources import flows as flow_source, logs as log_source
 from alertloom.sources.alerts import alert_hash
@@ -46,6 +46,10 @@ def protocol_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {n: view(spark, sf_dir, f"v_{n}") for n in ("http", "dns", "ssl", "files")}
 
 
+def timed_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: timed_view(spark, sf_dir, f"v_{n}") for n in ("http", "dns", "ssl", "files")}
+
+
 # --- ingestion --------------------------------------------------------------------------------
 
 @query
@@ -130,6 +134,38 @@ def session_fan_out(spark, sf_dir):
     return rows.groupBy("uid", "log").agg(F.count("*").alias("n"))
 
 
+@query
+def alert_repeat_match(spark, sf_dir):
+    """Alerts of which some come three times: each copy has its one connection."""
+    alerts = view(spark, sf_dir, "v_alerts")
+    copies = alerts.where(F.col("alert_id") % 3 == 0)
+    rows = M.with_row_key(alerts.unionByName(copies).unionByName(copies))
+    matched = M.match_alerts(rows, view(spark, sf_dir, "v_conn"), id_col="alert_row")
+    return rows.select("alert_row", "alert_id").join(matched, "alert_row", "left").select(
+        "alert_id", "uid", "matched_by", F.col("conn.row_id").alias("conn_row")
+    )
+
+
+@query
+def session_scan_pruned(spark, sf_dir):
+    """Rows of each log within the hours of its alerts, from tables with day folders."""
+    alerts = stage(view(spark, sf_dir, "v_alerts"), "alerts")
+    rows = {"conn": view(spark, sf_dir, "v_conn"), **timed_logs(spark, sf_dir)}
+    logs = {}
+    for name, log in rows.items():
+        path = new_table_dir(spark, f"{name}_log")
+        write_log_table(log, path, by=("dt",))
+        logs[name] = log_source.read_log_table(spark, path)
+    conn = log_source.in_folders(logs["conn"], band_folders(alerts))
+    matched = stage(M.match_alerts(alerts, conn), "matched")
+    _, scoped = scoped_logs(alerts, matched, logs)
+    parts = [log.select("uid", F.lit(name).alias("log")) for name, log in scoped.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("uid", "log").agg(F.count("*").alias("n"))
+
+
 @query
 def time_bucket_scan(spark, sf_dir):
     """The archive file, of six hours each, that covers every alert."""
@@ -432,7 +468,7 @@ def files_rollup(spark, sf_dir):
 def all_documents(spark, sf_dir):
     return enrich(
         view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn"),
-        protocol_logs(spark, sf_dir),
+        timed_logs(spark, sf_dir), id_col="alert_id",
     )
 
 
@@ -644,7 +680,7 @@ def alert_enrich_stream(spark, sf_dir):
     root = new_table_dir(spark, "enrich")
 
     def logs():
-        return view(spark, sf_dir, "v_conn"), protocol_logs(spark, sf_dir)
+        return view(spark, sf_dir, "v_conn"), timed_logs(spark, sf_dir)
 
     finish(start_enrich(event_stream(spark, sf_dir), logs, f"{root}/docs", f"{root}/state",
                         once=True))

@@ -262,6 +262,34 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).where(where.format(**SPARK)).selectExpr(*exprs)
 
 
+#: Events that a row of these views stands for; their times place it among its session's events.
+TIMED = {"v_http": 40, "v_files": 10}
+
+
+def timed_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A log view with the time of its session's events; rows beyond the events have none."""
+    rows = view(spark, sf_dir, name)
+    if name not in TIMED:
+        return rows
+    step = TIMED[name]
+    times = table(spark, sf_dir, "events").where(f"event_id % {step} = 0").selectExpr(
+        f"cast(event_id / {step} as bigint) as row_id", f"{SPARK['us']} as ts_us")
+    return rows.drop("ts_us").join(times, "row_id", "left").select(*rows.columns)
+
+
+def ansi_timed_view(name: str, alias: str) -> str:
+    """The timed view under another name."""
+    source, where, columns = VIEWS[name]
+    exprs = ", ".join(f'{e.format(**ANSI)} as "{a}"' for a, e in columns.items() if a != "ts_us")
+    if name not in TIMED:
+        return f"{alias} as (select {exprs}, {ANSI['us']} as ts_us from {source} where {where})"
+    return (
+        f"{alias} as (select v.*, e.ts_us from (select {exprs} from {source} where {where}) v "
+        f"left join (select event_id, {ANSI['us']} as ts_us from events) e "
+        f"on e.event_id = v.row_id * {TIMED[name]})"
+    )
+
+
 def ansi_view(name: str) -> str:
     """The same view as the text of a common table expression."""
     source, where, columns = VIEWS[name]

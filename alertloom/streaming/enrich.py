@@ -9,35 +9,40 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertloom import constants as K
 from alertloom.operators.numbering import continue_numbers
-from alertloom.plans.enrich import enrich, pruned_conn
+from alertloom.plans.enrich import enrich
+from alertloom.session import stage
+
+COUNTS = "alert_index bigint, batch bigint"
 
 
 def enrich_batch(batch: DataFrame, batch_id: int, conn: DataFrame, logs: dict[str, DataFrame],
-                 out_path: str) -> None:
-    """Number the alerts of a batch after those already written, enrich and write them.
+                 out_path: str, counts_path: str) -> None:
+    """Number the alerts of a batch after those of earlier ones, enrich and write them.
 
-    Output goes to a folder per batch that a rerun overwrites, so a batch counts once.
+    Output goes to a folder per batch that a rerun overwrites, so a batch counts once. The last
+    number of each batch is kept beside it, one row a batch, so that no output is read again.
     """
     spark = batch.sparkSession
-    try:
-        done = spark.read.parquet(out_path).where(F.col("batch") != batch_id)
-    except Exception as missing:  # the first batch finds no output yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        done = spark.createDataFrame([], "alert_index bigint")
+    done = spark.read.schema(COUNTS).parquet(counts_path).where(F.col("batch") < batch_id)
     order = [F.col("timestamp"), F.col("alert_id")]
-    alerts = continue_numbers(batch, done, order)
-    docs = enrich(alerts, pruned_conn(alerts, conn), logs)
-    numbered = docs.join(alerts.select("alert_id", "alert_index"), "alert_id")
-    numbered.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+    alerts = stage(continue_numbers(batch, done, order), "numbered")
+    docs = enrich(alerts, conn, logs, id_col="alert_index")
+    docs.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+    last = alerts.select(F.col("alert_index")).unionByName(done.select("alert_index")).agg(
+        F.max("alert_index").alias("alert_index"))
+    last.write.mode("overwrite").parquet(f"{counts_path}/batch={batch_id}")
 
 
 def start_enrich(alerts: DataFrame, logs: Callable[[], tuple[DataFrame, dict[str, DataFrame]]],
                  out_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Enrich a stream of flat alerts; `logs` returns conn and the protocol logs of the moment."""
+    counts_path = f"{checkpoint.rstrip('/')}-numbers"
+    none = alerts.sparkSession.createDataFrame([], "alert_index bigint")
+    none.write.mode("overwrite").parquet(f"{counts_path}/batch=-1")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         conn, protocol_logs = logs()
-        enrich_batch(batch, batch_id, conn, protocol_logs, out_path)
+        enrich_batch(batch, batch_id, conn, protocol_logs, out_path, counts_path)
 
     writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     trigger = {"availableNow": True} if once else {"processingTime": f"{K.POLL_SECONDS} seconds"}

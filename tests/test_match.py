@@ -50,10 +50,10 @@ def test_last_row_of_the_uid_describes_the_connection(spark):
 
 
 def test_fallback_only_without_any_community_row(spark):
-    conns = [conn("far", "c1", 5000, 1), conn("near", "other", 10, 2)]
+    conns = [conn("far", "c1", 1500, 1), conn("near", "other", 10, 2)]
     got = matched(spark, [alert(1, "c1"), alert(2, "nowhere"), alert(3, None), alert(4, ""),
                           alert(5, "nowhere", None)], conns)
-    # Alert 1 has a raw hit outside the band, so its 5-tuple is not asked for.
+    # Alert 1 has a raw hit outside the band, in an hour of it, so its 5-tuple is not asked for.
     assert got == {i: ("near", 2, "tuple") for i in (2, 3, 4)}
 
 
