@@ -141,8 +141,8 @@ FILE_SEVERITY_RANKS = {"Informational": 0, "Medium": 1, "High": 2, "Critical": 3
 FILE_EXAMPLE_LIMIT = 5
 
 # --- domain suffixes ------------------------------------------------------------------------
-# Common suffixes of more than one label. The last label is the suffix of any other host;
-# pass a full public suffix list to `domain_parts` for exact splits.
+# Common suffixes of more than one label, for splits without a table of rules; the last label is
+# the suffix of any other host. `operators.suffixes` splits by a whole public suffix list.
 MULTI_LABEL_SUFFIXES = [
     "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "ac.jp", "co.jp", "go.jp",
     "ne.jp", "or.jp", "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk",

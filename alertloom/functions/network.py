@@ -141,6 +141,18 @@ def is_direct_ip_host(host: Column) -> Column:
     return F.coalesce(host.rlike(K.DIRECT_IP_HOST), F.lit(False))
 
 
+def bare_host(host: Column) -> Column:
+    """The host name alone: without scheme, user, port, path and closing dots."""
+    bare = F.regexp_replace(host, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?//|[/?#].*$", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^.*@", ""), r":\d*$|\.+$", "")
+
+
+def text_before(text: Column, tail: Column) -> Column:
+    """The text before a tail and its dot."""
+    size = F.length(text) - F.length(tail) - 1
+    return F.substring(text, F.lit(1), F.greatest(size, F.lit(0)))
+
+
 def domain_parts(
     host: Column, suffixes: Iterable[str] | None = None, exact: bool = False
 ) -> Column:
@@ -181,20 +193,15 @@ def domain_parts(
             size = size.when(n >= 2, 1)
         return size.otherwise(0)
 
-    def cut(text: Column, tail: Column) -> Column:
-        """The text before a tail and its dot."""
-        size = F.length(text) - F.length(tail) - 1
-        return F.substring(text, F.lit(1), F.greatest(size, F.lit(0)))
-
     def split(bare: Column) -> Column:
         def with_suffix(suffix: Column) -> Column:
-            rest = F.when(suffix == "", bare).otherwise(cut(bare, suffix))
+            rest = F.when(suffix == "", bare).otherwise(text_before(bare, suffix))
 
             def with_rest(r: Column) -> Column:
                 domain = F.when(bare.rlike(STRICT_V4), bare).otherwise(
                     F.substring_index(r, ".", -1)
                 )
-                return F.struct(cut(r, domain).alias("subdomain"), domain.alias("domain"),
+                return F.struct(text_before(r, domain).alias("subdomain"), domain.alias("domain"),
                                 suffix.alias("suffix"))
 
             return let(rest, with_rest)
@@ -204,10 +211,7 @@ def domain_parts(
         ], F.lit("")))
         return let(suffix, with_suffix)
 
-    bare = F.regexp_replace(host, r"^([A-Za-z][A-Za-z0-9+.\-]*:)?//|[/?#].*$", "")
-    return let(
-        F.regexp_replace(F.regexp_replace(bare, "^.*@", ""), r":\d*$|\.+$", ""), split
-    )
+    return let(bare_host(host), split)
 
 
 def registered_domain(host: Column, suffixes: Iterable[str] | None = None) -> Column:

@@ -13,11 +13,20 @@ from alertloom.operators.collectors.base import (
     LAST, arrival, evidence_rows, first_value, item, position,
 )
 from alertloom.operators.match import session_rows
+from alertloom.operators.suffixes import with_domain_parts
+from alertloom.sources.refdata import suffix_rules
 
 
-def query_signs(df: DataFrame, suffixes: Iterable[str] | None = None) -> DataFrame:
-    """Adds what a query name alone shows: `suffix`, `bad_tld`, `long_query`, `entropy`, `dga`."""
-    named = df.withColumn("_parts", domain_parts(F.col("query"), suffixes))
+def query_signs(df: DataFrame, suffixes: Iterable[str] | DataFrame | None = None) -> DataFrame:
+    """Adds what a query name alone shows: `suffix`, `bad_tld`, `long_query`, `entropy`, `dga`.
+
+    `suffixes` are the rules of a public suffix list: a table (column `rule`), or a few texts.
+    """
+    rules = suffix_rules(df.sparkSession) if suffixes is None else suffixes
+    if isinstance(rules, DataFrame):
+        named = with_domain_parts(df, "query", rules, "_parts")
+    else:
+        named = df.withColumn("_parts", domain_parts(F.col("query"), rules))
     return (
         named.withColumn("suffix", F.col("_parts.suffix"))
         .withColumn("bad_tld", F.coalesce(F.col("suffix").isin(K.DNS_SUSPICIOUS_TLDS), F.lit(False)))
@@ -35,7 +44,7 @@ def failed():
 class DnsCollector:
     name = "dns"
 
-    def __init__(self, suffixes: Iterable[str] | None = None):
+    def __init__(self, suffixes: Iterable[str] | DataFrame | None = None):
         self.suffixes = suffixes
 
     def prepare(self, rows: DataFrame) -> DataFrame:

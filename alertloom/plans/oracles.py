@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from alertloom import constants as K
 from alertloom.functions.text import CONTENT_REASONS
-from alertloom.plans.views import ansi_timed_view, ansi_view
+from alertloom.plans.views import SUFFIX_HOSTS, SUFFIX_RULES, ansi_timed_view, ansi_view
 
 ORACLES: dict[str, str] = {}
 
@@ -438,6 +438,23 @@ oracle("domain_split", "select host, subdomain, domain, suffix from parts", "v_d
        ctes=parts_cte("parts", f"(select host from {PAGE_HOSTS} union "
                                "select query from v_dns where query <> '')", "host"))
 
+oracle("domain_suffix_split",
+       f"""with rules as (select distinct rule from ({SUFFIX_RULES.format(nation='nation')})),
+       hosts as ({SUFFIX_HOSTS.format(nation='nation', customer='customer')}),
+       tails as (select distinct host, k, string_split(host, '.') as labels,
+           lower(array_to_string(string_split(host, '.')[-k:], '.')) as tail
+         from hosts, range(1, 7) r(k) where k <= len(string_split(host, '.'))),
+       sizes as (select t.host, arg_max(case when rule[1:1] = '!' then k - 1
+           when rule[1:1] = '*' then k + 1 else k end, case when rule[1:1] = '!' then 100 + k
+           when rule[1:1] = '*' then k + 1 else k end) as size
+         from tails t join rules on rule in (tail, concat('*.', tail), concat('!', tail))
+         where rule[1:1] <> '*' or k < len(labels) group by t.host),
+       cuts as (select host, string_split(host, '.') as labels, coalesce(size, 0) as size
+         from hosts left join sizes using (host))
+       select host, array_to_string(labels[:-size - 2], '.') as subdomain,
+         coalesce(labels[len(labels) - size], '') as domain,
+         case when size = 0 then '' else array_to_string(labels[-size:], '.') end as suffix from cuts""")
+
 # --- tls ----------------------------------------------------------------------------------------
 
 INTEL = ", ".join(f"('ja3_details', '{h}', '{n}')" for h, n in K.MALICIOUS_JA3.items()) + ", " + \

@@ -12,9 +12,10 @@ from alertloom.operators import (
 )
 from alertloom.operators.collectors import conn as conn_c, dns, files, http, ssl
 from alertloom.operators.numbering import number_rows
+from alertloom.operators.suffixes import with_domain_parts
 from alertloom.operators.timefiles import covering_file
 from alertloom.plans.enrich import band_folders, enrich, pruned_conn, scoped_logs
-from alertloom.plans.views import table, timed_view, view
+from alertloom.plans.views import SUFFIX_HOSTS, SUFFIX_RULES, table, timed_view, view
 from alertloom.session import new_table_dir, stage
 from alertloom.sources import flows as flow_source, logs as log_source
 from alertloom.sources.alerts import alert_hash
@@ -381,6 +382,16 @@ def domain_split(spark, sf_dir):
     )
 
 
+@query
+def domain_suffix_split(spark, sf_dir):
+    """Host names of customers, split by a table of rules with wildcards and exceptions."""
+    rules = spark.sql(SUFFIX_RULES, nation=table(spark, sf_dir, "nation"))
+    hosts = spark.sql(SUFFIX_HOSTS, nation=table(spark, sf_dir, "nation"),
+                      customer=table(spark, sf_dir, "customer"))
+    return with_domain_parts(hosts, "host", rules).select(
+        "host", "parts.subdomain", "parts.domain", "parts.suffix")
+
+
 # --- tls ----------------------------------------------------------------------------------------
 
 @query

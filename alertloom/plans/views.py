@@ -252,6 +252,18 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
 }
 
 
+#: Suffix rules by country, some with a wildcard and an exception, and host names under them.
+_COUNTRY = "lower(substr(n_name, 1, 2))"
+SUFFIX_RULES = f"""select {_COUNTRY} as rule from {{nation}}
+  union all select concat('com.', {_COUNTRY}) from {{nation}}
+  union all select concat('*.gov.', {_COUNTRY}) from {{nation}}
+  union all select concat('!www.gov.', {_COUNTRY}) from {{nation}}"""
+SUFFIX_HOSTS = f"""select concat('H', c_custkey % 9, '.', case c_custkey % 6 when 0 then 'com.'
+    when 1 then 'x.com.' when 2 then 'www.gov.' when 3 then 'a.gov.' when 4 then 'b.c.gov.' else '' end,
+    case when c_custkey % 17 = 0 then 'nowhere' else {_COUNTRY} end) as host
+  from {{customer}} join {{nation}} on c_nationkey = n_nationkey"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

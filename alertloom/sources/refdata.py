@@ -40,6 +40,29 @@ def public_suffixes(path: str) -> list[str]:
         return [s for s in stripped if s and not s.startswith("//")]
 
 
+#: The list that Spark's own libraries carry, and the line that opens its part of private domains.
+SUFFIX_RESOURCE = "mozilla/public-suffix-list.txt"
+PRIVATE_SUFFIXES = "===BEGIN PRIVATE DOMAINS==="
+
+
+def suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """rule: the registries' rules of a public suffix list, from a file that Spark reads.
+
+    Without a path it is the list on the class path of Spark. Some ten thousand short rows.
+    """
+    if path is not None:
+        text = spark.read.text(path, wholetext=True).first()["value"]
+    else:
+        loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        found = loader.getResourceAsStream(SUFFIX_RESOURCE)
+        if found is None:
+            raise FileNotFoundError(f"{SUFFIX_RESOURCE} is not on the class path: name a list by path")
+        text = bytes(found.readAllBytes()).decode()
+    lines = text.partition(PRIVATE_SUFFIXES)[0].splitlines()
+    kept = [(line.strip(),) for line in lines if line.strip() and not line.startswith("//")]
+    return spark.createDataFrame(kept, "rule STRING")
+
+
 def read_rules(path: str) -> list[tuple[str, str, str, str, object]]:
     """Severity rules from a JSON file: {level: [{collector, path, check, value}, ...]}."""
     with open(path, encoding="utf-8") as f:

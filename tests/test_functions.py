@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from alertloom import constants as K
 from alertloom.functions import jsontext, network, text
+from alertloom.operators.suffixes import with_domain_parts
+from alertloom.sources.refdata import suffix_rules
 
 
 def apply(spark, values, fn):
@@ -102,6 +104,27 @@ def test_domain_parts(spark):
                    ("x", "unknown", "")]
 
 
+def test_domain_parts_by_a_table_of_rules(spark):
+    hosts = ["a.shop.com.pl", "com.pl", "x.y.foo.ck", "a.www.ck", "ck", "a.b.nowhere", "8.8.8.8", "localhost",
+             "http://u@A.Example.CO.UK:80/p", "", None, "a.example.com", "a.example.com"]
+    rows = spark.createDataFrame([(h, i) for i, h in enumerate(hosts)], "host string, i int")
+    got = {r["i"]: r["parts"] and tuple(r["parts"]) for r in with_domain_parts(
+        rows, "host", suffix_rules(spark)).collect()}
+    assert [got[i] for i in range(len(hosts))] == [
+        ("a", "shop", "com.pl"), ("", "", "com.pl"), ("x", "y", "foo.ck"), ("a", "www", "ck"), ("", "ck", ""),
+        ("a.b", "nowhere", ""), ("", "8.8.8.8", ""), ("", "localhost", ""), ("A", "Example", "CO.UK"), ("", "", ""),
+        None, ("a", "example", "com"), ("a", "example", "com")]
+
+
+def test_suffix_rules_from_a_file(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("// comment\n\ncom\n*.ck\n!www.ck\n// ===BEGIN PRIVATE DOMAINS===\nblogspot.com\n")
+    assert [r["rule"] for r in suffix_rules(spark, str(path)).collect()] == ["com", "*.ck", "!www.ck"]
+    none = with_domain_parts(spark.createDataFrame([("a.com",)], "host string"), "host",
+                             spark.createDataFrame([], "rule string"))
+    assert tuple(none.first()["parts"]) == ("a", "com", "")
+
+
 def test_file_extension_matches_the_standard_library(spark):
     values = ["a.EXE", ".exe", "..a.exe", "dir.x/file", "a.b.tar.gz", "noext", "", "d/.hid", "a."]
     assert apply(spark, values, text.file_extension) == [
