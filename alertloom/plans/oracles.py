@@ -49,6 +49,16 @@ oracle("alert_dedup_hash",
          select {hash_sql()} as alert_hash, alert_id, timestamp,
            row_number() over (partition by {hash_sql()} order by timestamp, alert_id) as rn
          from v_alerts) where rn = 1""", "v_alerts")
+oracle("alert_dedup_stream",
+       f"""select distinct {hash_sql()} as alert_hash,
+       cast(cast(try_cast(timestamp as timestamp) + interval 7 hour as date) as varchar) as local_day
+       from (select * replace (case when alert_id % 10 = 0 then 'unknown' else timestamp end as timestamp)
+             from v_alerts)""", "v_alerts")
+oracle("intake_quarantine_stream",
+       f"""select 'alert' as kind, {hash_sql()} as content, event_us, transport, source_port
+       from v_alerts where alert_id % 13 <> 0
+       union all select 'line', concat('{{"@timestamp":"', timestamp), null, null, null
+       from v_alerts where alert_id % 13 = 0""", "v_alerts")
 oracle("alert_anti_log",
        f"""select alert_hash, min(alert_id) as alert_id from
        (select {hash_sql()} as alert_hash, * from v_alerts)
@@ -96,6 +106,7 @@ MATCHED = f"""{COMMUNITY_MATCH}, {TUPLE_MATCH},
                 union all select *, 'tuple' as matched_by from by_tuple)"""
 
 oracle("alert_conn_match", "select * from by_id", "v_alerts", "v_conn", ctes=COMMUNITY_MATCH)
+oracle("alert_conn_stream_join", "select * from by_id", "v_alerts", "v_conn", ctes=COMMUNITY_MATCH)
 oracle("alert_conn_fallback", "select * from by_tuple", "v_alerts", "v_conn", ctes=TUPLE_MATCH)
 oracle("alert_match_all",
        """select a.alert_id, m.uid, m.matched_by, m.conn_row

@@ -21,9 +21,10 @@ from alertloom.sources import flows as flow_source, logs as log_source
 from alertloom.sources.alerts import alert_hash
 from alertloom.sources.logs import write_log_table
 from alertloom.sources.sinks import local_day, write_csv
+from alertloom.streaming.connect import start_connect
 from alertloom.streaming.enrich import start_enrich
 from alertloom.streaming.forward import start_forward
-from alertloom.streaming.ingest import start_ingest
+from alertloom.streaming.ingest import alert_lines, start_dedup, start_ingest, start_intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -685,6 +686,76 @@ def alert_ingest_stream(spark, sf_dir):
     )
 
 
+@query
+def alert_dedup_stream(spark, sf_dir):
+    """Three runs of a stream that remembers: the second and third bring earlier alerts again."""
+    root = new_table_dir(spark, "dedup")
+    alerts = view(spark, sf_dir, "v_alerts").withColumn(
+        "timestamp", F.when(F.col("alert_id") % 10 == 0, "unknown").otherwise(F.col("timestamp")))
+    look_back = alerts.withColumn("source_port", F.concat("source_port", F.lit(".0")))
+    for part in (alerts.where(F.col("alert_id") % 3 != 1), alerts, look_back):
+        part.write.mode("append").parquet(f"{root}/in")
+        arriving = spark.readStream.schema(alerts.schema).parquet(f"{root}/in")
+        finish(start_dedup(arriving, f"{root}/log", f"{root}/state", once=True))
+    return spark.read.parquet(f"{root}/log").select(
+        "alert_hash", F.col("local_day").cast("string").alias("local_day"))
+
+
+@query
+def intake_quarantine_stream(spark, sf_dir):
+    """Nested alerts as JSON lines in two runs, with times of several zones and cut lines."""
+    root = new_table_dir(spark, "intake")
+    alerts, number = view(spark, sf_dir, "v_alerts"), F.col("alert_id")
+    at = F.timestamp_micros("event_us")
+    pattern = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    zoned = F.when(number % 3 == 0, F.date_format(at, f"{pattern}'Z'")).when(
+        number % 3 == 1, F.date_format(at, f"{pattern}'+0000'")).otherwise(
+        F.date_format(at + F.expr("interval 7 hours"), f"{pattern}'+07:00'"))
+    message = F.to_json(F.struct(zoned.alias("timestamp"), F.upper("transport").alias("proto")))
+    side = lambda end: F.struct(F.col(f"{end}_ip").alias("ip"), F.col(f"{end}_port").alias("port"))
+    nested = F.to_json(F.struct(
+        F.col("timestamp").alias("@timestamp"), message.alias("message"),
+        side("source").alias("source"), side("dest").alias("destination"),
+        F.struct(F.when(number % 4 != 0, F.col("transport")).alias("transport"), "community_id")
+        .alias("network"),
+        F.struct(F.col("rule_name").alias("name"), F.col("rule_severity").alias("severity")).alias("rule"),
+    ))
+    cut = F.when(number % 13 == 0, F.substring(nested, 1, 34)).otherwise(nested)
+    for half in (0, 1):
+        alerts.where(number % 2 == half).select(cut).write.mode("append").text(f"{root}/in")
+        finish(start_intake(alert_lines(spark, f"{root}/in"), f"{root}/alerts", f"{root}/quarantine",
+                            f"{root}/state", once=True))
+    good = spark.read.parquet(f"{root}/alerts").select(
+        F.lit("alert").alias("kind"), F.col("alert_id").alias("content"), "event_us", "transport", "source_port")
+    bad = spark.read.parquet(f"{root}/quarantine").select(
+        F.lit("line").alias("kind"), F.col(log_source.CORRUPT).alias("content"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+@query
+def alert_conn_stream_join(spark, sf_dir):
+    """Alerts and connections as two streams in three runs; the last brings only later times."""
+    root = new_table_dir(spark, "connect")
+    alerts, conn = view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn")
+    middle, end = conn.agg(
+        ((F.min("ts_us") + F.max("ts_us")) / 2).cast("long").alias("m"), F.max("ts_us").alias("e")).first()
+    day = 86_400_000_000
+    for low, high, shift in ((0, middle, 0), (middle, end + 1, 0), (end, end + 1, 2 * day)):
+        rows = conn.where((F.col("ts_us") >= low) & (F.col("ts_us") < high))
+        asked = alerts.where((F.col("event_us") >= low) & (F.col("event_us") < high))
+        if shift:  # rows without a match move the watermarks on
+            rows = rows.withColumn("community_id", F.lit("end")).withColumn("ts_us", F.col("ts_us") + shift)
+            asked = rows.select(F.col("row_id").alias("alert_id"), F.col("ts_us").alias("event_us"),
+                                F.lit("no row").alias("community_id"))
+        rows.write.mode("append").parquet(f"{root}/conn")
+        asked.select("alert_id", "event_us", "community_id").write.mode("append").parquet(f"{root}/alerts")
+        finish(start_connect(
+            spark.readStream.schema("alert_id long, event_us long, community_id string").parquet(f"{root}/alerts"),
+            spark.readStream.schema(conn.schema).parquet(f"{root}/conn"),
+            f"{root}/matched", f"{root}/state", once=True))
+    return spark.read.parquet(f"{root}/matched")
+
+
 @query
 def alert_enrich_stream(spark, sf_dir):
     """Alerts enriched in micro-batches and numbered on arrival."""

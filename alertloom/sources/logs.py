@@ -15,14 +15,15 @@ def row_id(df: DataFrame) -> Column:
 
 
 def json_lines(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
-    """Parsed JSON lines; a malformed line keeps only its text, in `_corrupt_record`.
+    """Parsed JSON lines of files; those ending in .gz are unpacked on the way."""
+    return parsed_lines(spark.read.text(list(paths)), schema)
 
-    Files ending in .gz are unpacked on the way.
-    """
+
+def parsed_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Parsed JSON lines (column `value`); a malformed line keeps only its text, in `_corrupt_record`."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json("value", f"{schema}, {CORRUPT} STRING", options)
-    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
-    return lines.select(parsed.alias("j")).select("j.*")
+    return lines.where(F.trim("value") != "").select(parsed.alias("j")).select("j.*")
 
 
 def read_log_json(spark: SparkSession, log_type: str, *paths: str) -> DataFrame:
