@@ -227,10 +227,5 @@ NO_EVIDENCE_SUMMARY = (
 PENDING_VERDICT = "Pending"
 PENDING_SUMMARY = "No summary available."
 CONTEXT_SLOT = "{{ENRICHED_PROMPT}}"
-USER_TEMPLATE = (
-    "\n**Based on the Persona, Critical Rule, Knowledge Base, and Guiding Principles provided in "
-    "your system prompt, analyze the following CONTEXT and execute the TASK exactly.**\n\n"
-    "# CONTEXT\n{{ENRICHED_PROMPT}}\n\n"
-)
 REQUEST_TEMPERATURE = 0.0
 REQUEST_MAX_TOKENS = 2048

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertloom import constants as K
 from alertloom.operators.ingest import last_of_each
 from alertloom.operators.numbering import number_rows
+from alertloom.session import new_table_dir
 
-DEEP_PAGE_ROWS = 10_000
+#: Places that a folder of a stored result holds.
+BLOCK_ROWS = 100_000
 
 
 def or_na(name: str) -> Column:
@@ -74,21 +76,40 @@ def result_size(view: DataFrame, per_page: int = K.PAGE_SIZE) -> DataFrame:
     )
 
 
-def page(view: DataFrame, number: int, ground_truth: bool = False,
-         per_page: int = K.PAGE_SIZE) -> DataFrame:
-    """One page of a result; numbers past the end give the last page.
+def store_result(view: DataFrame, path: str, ground_truth: bool = False) -> None:
+    """Write a result in its order, each row with its place `_n`, in folders of `BLOCK_ROWS` places.
+
+    The number of rows is kept beside it, so no page counts them again.
+    """
+    rows = number_rows(view, view_order(ground_truth), name="_n")
+    rows = rows.withColumn("block", (F.col("_n") / BLOCK_ROWS).cast("long"))
+    rows.hint("rebalance", "block").write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
+    rows.where(F.lit(False)).write.mode("overwrite").parquet(f"{path}/columns")
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    stored.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+
 
-    Early pages come from a top-k sort. Deep ones are cut out of numbered rows, so that no task
-    has to keep everything before them.
+def stored_page(spark: SparkSession, path: str, number: int, per_page: int = K.PAGE_SIZE) -> DataFrame:
+    """One page of a stored result; numbers past the end give the last page.
+
+    Early and deep pages are read alike, from the folders that hold their places.
     """
-    total = view.count()
+    total = spark.read.parquet(f"{path}/size").first()["n"]
     pages = max(1, math.ceil(total / per_page))
-    skip = (max(1, min(number, pages)) - 1) * per_page
-    order = view_order(ground_truth)
-    if skip + per_page <= DEEP_PAGE_ROWS:
-        return view.orderBy(*order).offset(skip).limit(per_page)
-    rows = number_rows(view, order, name="_n")
-    return rows.where(F.col("_n").between(skip, skip + per_page - 1)).orderBy("_n").drop("_n")
+    first = (max(1, min(number, pages)) - 1) * per_page
+    last = first + per_page - 1
+    inside = F.col("block").between(first // BLOCK_ROWS, last // BLOCK_ROWS)
+    stored = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+    rows = stored.where(inside & F.col("_n").between(first, last))
+    return rows.orderBy("_n").drop("_n", "block")
+
+
+def page(view: DataFrame, number: int, ground_truth: bool = False,
+         per_page: int = K.PAGE_SIZE) -> DataFrame:
+    """One page of a result, which is stored first; store it once to read several pages."""
+    path = new_table_dir(view.sparkSession, "result")
+    store_result(view, path, ground_truth)
+    return stored_page(view.sparkSession, path, number, per_page)
 
 
 def display_time(timestamp: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,9 +43,9 @@ def default_verdict(signature: Column) -> Column:
     )
 
 
-def request_rows(docs: DataFrame, model: str, system_text: str,
-                 template: str = K.USER_TEMPLATE) -> DataFrame:
-    """alert_id, part and the request body for a chat-completion service."""
+def request_rows(docs: DataFrame, model: str, system_text: str, template: str,
+                 keys: Sequence[str] = ("alert_id", "part")) -> DataFrame:
+    """Keys and the request body for a chat-completion service; `template` has the slot of the document."""
     user = F.replace(F.lit(template), F.lit(K.CONTEXT_SLOT), F.col("document"))
 
     def message(role: str, content: Column) -> Column:
@@ -59,19 +59,18 @@ def request_rows(docs: DataFrame, model: str, system_text: str,
         F.lit(False).alias("stream"),
         F.lit(False).alias("cache_prompt"),
     )
-    return needs_inference(docs).select("alert_id", "part", F.to_json(body).alias("request"))
+    return needs_inference(docs).select(*keys, F.to_json(body).alias("request"))
 
 
 def classify(requests: DataFrame, classifier: Callable | None = None) -> DataFrame:
     """Answers of a user-supplied classifier, a `mapInPandas` function of the request rows.
 
-    It yields alert_id, part, response. Without one there are no answers yet.
+    It gets batches of requests and yields their keys with a `response`. Without one there are no
+    answers yet.
     """
-    schema = f"alert_id {requests.schema['alert_id'].dataType.simpleString()}, part int, " \
-             "response string"
-    if classifier is None:
-        return requests.select("alert_id", "part", F.lit(None).cast("string").alias("response"))
-    return requests.mapInPandas(classifier, schema)
+    keys = requests.drop("request")
+    answers = keys.withColumn("response", F.lit(None).cast("string"))
+    return answers if classifier is None else requests.mapInPandas(classifier, answers.schema)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:

@@ -160,6 +160,13 @@ oracle("log_json_scan",
        """select uid, orig_h, conn_state, count(*) as n,
        cast(sum(orig_bytes) as bigint) as orig_bytes from v_conn
        group by uid, orig_h, conn_state""", "v_conn")
+oracle("log_discovery",
+       """with lines as (select strftime(make_timestamp(ts_us), '%Y-%m-%d') as day,
+           extract(hour from make_timestamp(ts_us)) as hour, row_id from v_conn),
+         taken as (select case when hour < 12 then 0 else 1 end as run, * from lines
+           union all select 2, * from lines where day like '%7' and hour >= 18)
+       select cast(run as int) as run, day, count(*) as n, cast(sum(row_id) as bigint) as row_ids
+       from taken group by run, day""".replace("with lines", "with " + ansi_view("v_conn") + ", lines"))
 oracle("flow_csv_scan",
        """select original_label, protocol, count(*) as n,
        cast(sum(source_port) as bigint) as ports from v_flows where dest_ip is not null
@@ -239,12 +246,12 @@ HITS = f"""{TAGGED},
         from tagged where body_reasons <> ''),
     ranked as (select *, row_number() over (partition by uid, reasons order by seen) as rn
       from hits)"""
-oracle("http_findings_grouped",
-       """select uid, reasons, count(*) as count,
+HTTP_FOUND = """select uid, reasons, count(*) as count,
        concat_ws('/', max(case when src = 'BODY' then 'BODY' end),
                  max(case when src = 'URI' then 'URI' end)) as source,
        string_agg(content, ' | ' order by seen) filter (where rn <= 3) as examples
-       from ranked group by uid, reasons""", "v_http", ctes=HITS)
+       from ranked group by uid, reasons"""
+oracle("http_findings_grouped", HTTP_FOUND, "v_http", ctes=HITS)
 
 STATS = """
     stats as (select uid, count(*) as total_requests,
@@ -394,8 +401,7 @@ oracle("dns_session_stats", "select * from dns_totals", "v_dns", ctes=DNS)
 
 PERCENT = ("concat(cast(cast(round_even(failed_queries * 100 / total_queries, 0) as bigint) "
            "as varchar), '%')")
-oracle("dns_findings",
-       f"""select uid, type, source, content, reason, count(*) as n from (
+DNS_FOUND = f"""select uid, type, source, content, reason, count(*) as n from (
        select uid, 'AttributeFinding' as type, 'query_tld' as source, query as content,
          concat('Suspicious TLD (.', suffix, ')') as reason from signed where bad_tld
        union all select uid, 'AttributeFinding', 'query_length', query,
@@ -416,7 +422,8 @@ oracle("dns_findings",
          concat('rcode_name: ', last_failure), concat('High Failure Ratio (', {PERCENT}, ')')
          from dns_totals where high_failure)
        where uid in (select uid from dns_totals where is_reported)
-       group by uid, type, source, content, reason""", "v_dns", ctes=DNS)
+       group by uid, type, source, content, reason"""
+oracle("dns_findings", DNS_FOUND, "v_dns", ctes=DNS)
 
 DNS_SUMMARY = f"""{DNS},
     dns_sessions as (select uid,
@@ -658,6 +665,35 @@ oracle("document_facts",
        direction, coalesce(http_level, '') as http_levels, coalesce(dns_level, '') as dns_levels,
        coalesce(ssl_level, '') as ssl_levels, coalesce(files_level, '') as files_levels,
        http_requests, dns_queries, n_files from facts""", *ALL_VIEWS, ctes=FACTS)
+EVIDENCE = f"""{FACTS},
+    http_found as ({HTTP_FOUND}), dns_found as ({DNS_FOUND}),
+    doc_entries as (
+      select uid, 'http' as collector, 'findings' as kind, concat(case when count > 3
+        then 'AggregatedContentFinding|' else 'ContentFinding|' end, source, '|', reasons) as value,
+        case when count > 3 then 1 else count end as n from http_found
+      union all select uid, 'http', 'findings', concat('AggregatedFileTransfer|', direction), 1 from moved
+      union all select distinct uid, 'http', 'methods_used', method, 1 from v_http where method is not null
+      union all select uid, 'dns', 'findings', concat(type, '|', source, '|', reason), n from dns_found
+      union all select uid, 'ssl', kind, value, 1 from ssl_seen where uid in (select uid from ssl_facts)
+      union all select uid, 'files', 'findings', concat('AggregatedFileFinding|', reasons), 1 from file_groups
+        where reasons <> '')"""
+oracle("document_evidence",
+       """select s.alert_id, e.collector, e.kind, e.value, cast(sum(e.n) as bigint) as n
+       from scopes s join doc_entries e on s.scope = e.uid group by all""", *ALL_VIEWS, ctes=EVIDENCE)
+oracle("document_levels_read",
+       "select alert_id, http_level, dns_level, ssl_level, files_level from facts where has_evidence",
+       *ALL_VIEWS, ctes=FACTS)
+oracle("analysis_chain",
+       """select alert_index, kind, case when kind = 'record' then case when not asked or number % 2 = 0
+           then 'False Positive' else 'True Positive' end when number = 3 then 'I cannot say.'
+           else '{"result": {}}' end as content, case when not asked then 1.0::double end as confidence,
+         case when kind = 'record' then rule_name end as signature,
+         case when kind = 'record' then concat('enriched/alert_enrichment_', alert_index, '.jsonl') end as file
+       from (select *, has_connection or has_evidence as asked, cast(rule_name[6:] as int) as number,
+           case when (has_connection or has_evidence) and rule_name in ('RULE 3', 'RULE 5')
+             then 'refused' else 'record' end as kind
+         from facts join (select alert_id, row_number() over (order by timestamp, alert_id) as alert_index
+           from v_alerts) using (alert_id))""", *ALL_VIEWS, ctes=FACTS)
 oracle("auto_fp_routing",
        """select alert_id,
        case when not has_connection and not has_evidence then 'False Positive' end
@@ -760,6 +796,18 @@ oracle("triage_page",
        (select (least(2, greatest(ceil(count(*) / 20), 1)) - 1) * 20 from served
         where contains(lower(alert_name), 'rule 3'))""",
        "v_alerts", "v_analyses", ctes=SERVED)
+oracle("triage_deep_page",
+       """with """ + ansi_view("v_alerts") + ", " + ansi_view("v_analyses") + f""", {SERVED},
+       placed as (select *, row_number() over (order by alert_index desc) - 1 as place, count(*) over () as n
+         from served)
+       select cast(page as int) as page, alert_index, unique_id from placed, (values (1), (90)) w(page)
+       where place // 20 = least(page, greatest(1, ceil(n / 20))) - 1""")
+oracle("triage_details",
+       """select unique_id, strftime(cast(timestamp as timestamp), '%Y-%m-%d %H:%M:%S') as shown,
+       case when llm_verdict = 'Pending' then '{"status":"Pending Analysis"}' else
+         concat('{"conclusion":{"classification":"', llm_verdict, '","reasoning_summary":"',
+           reasoning_summary, '"}}') end as llm_result_json from served""",
+       "v_alerts", "v_analyses", ctes=SERVED)
 oracle("triage_page_size",
        """select count(*) as n_total, cast(greatest(ceil(count(*) / 20), 1) as bigint) as n_pages
        from served where contains(lower(alert_name), 'rule 3')""",

@@ -12,20 +12,24 @@ from alertloom.operators import (
 )
 from alertloom.operators.collectors import conn as conn_c, dns, files, http, ssl
 from alertloom.operators.numbering import number_rows
+from alertloom.operators.readback import document_levels, evidence_rows
 from alertloom.operators.suffixes import with_domain_parts
 from alertloom.operators.timefiles import covering_file
+from alertloom.plans.answers import answer_alerts
 from alertloom.plans.enrich import band_folders, enrich, pruned_conn, scoped_logs
 from alertloom.plans.views import SUFFIX_HOSTS, SUFFIX_RULES, table, timed_view, view
 from alertloom.session import new_table_dir, stage
 from alertloom.sources import flows as flow_source, logs as log_source
-from alertloom.sources.alerts import alert_hash
+from alertloom.sources.alerts import alert_hash, read_analyses
+from alertloom.sources.discovery import sync_lines
 from alertloom.sources.logs import write_log_table
-from alertloom.sources.sinks import local_day, write_csv
+from alertloom.sources.sinks import local_day, write_csv, write_documents
 from alertloom.streaming.connect import start_connect
 from alertloom.streaming.enrich import start_enrich
 from alertloom.streaming.forward import start_forward
 from alertloom.streaming.ingest import alert_lines, start_dedup, start_ingest, start_intake
 
+TEMPLATE = "Judge this alert:\n{{ENRICHED_PROMPT}}\n"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -228,6 +232,40 @@ def flow_csv_scan(spark, sf_dir):
     )
 
 
+@query
+def log_discovery(spark, sf_dir):
+    """Lines taken from day files that appear, grow, and in part are replaced by shorter ones."""
+    root = new_table_dir(spark, "discovery")
+    lines = view(spark, sf_dir, "v_conn").select(
+        F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd").alias("day"),
+        F.hour(F.timestamp_micros("ts_us")).alias("hour"), "ts_us", "row_id",
+        F.to_json(F.struct("row_id", "uid", "orig_h")).alias("value"))
+    replaced = F.col("day").substr(10, 1) == "7"
+    states = (F.col("hour") < 12, F.lit(True), ~replaced | (F.col("hour") >= 18))
+    for i, held in enumerate(states):
+        # One file a day, under one name, as a log that is still written has it.
+        lines.where(held).repartition("day").sortWithinPartitions("day", "ts_us", "row_id").select(
+            "day", "value").write.partitionBy("day").text(f"{root}/state{i}")
+        place_files(spark, f"{root}/state{i}", f"{root}/logs", "conn.log")
+        sync_lines(spark, f"{root}/logs", "*.log", f"{root}/manifest", f"{root}/lines")
+    taken = spark.read.parquet(f"{root}/lines")
+    return taken.groupBy("run", F.regexp_extract("path", r"day=([0-9-]+)/", 1).alias("day")).agg(
+        F.count("*").alias("n"), F.sum(F.get_json_object("value", "$.row_id").cast("long")).alias("row_ids"))
+
+
+def place_files(spark: SparkSession, source: str, target: str, name: str) -> None:
+    """Move the one file of each folder below `source` to the same folder of `target`, under one name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path(source)):
+        if folder.isDirectory():
+            written = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            there = path(f"{target}/{folder.getPath().getName()}", name)
+            fs.mkdirs(there.getParent())
+            fs.delete(there, False)
+            fs.rename(written[0], there)
+
+
 # --- connections --------------------------------------------------------------------------------
 
 @query
@@ -540,7 +578,8 @@ def auto_fp_routing(spark, sf_dir):
 
 @query
 def inference_requests(spark, sf_dir):
-    requests = V.request_rows(all_documents(spark, sf_dir), "default", "You are an analyst.")
+    requests = V.request_rows(all_documents(spark, sf_dir), "default", "You are an analyst.",
+                              TEMPLATE)
     body = F.col("request")
     return requests.select(
         "alert_id", F.get_json_object(body, "$.model").alias("model"),
@@ -551,6 +590,53 @@ def inference_requests(spark, sf_dir):
     )
 
 
+def rule_of_thumb(batches):
+    """A classifier without a model: by the number in the request's document, and silent for some."""
+    for batch in batches:
+        number = batch["request"].str.extract(r"RULE (\d)")[0].astype(int)
+        verdict = number.map(lambda n: "True Positive" if n % 2 else "False Positive")
+        answer = '```json\n{"result": {"conclusion": {"classification": "' + verdict + '"}}}\n```'
+        yield batch.drop(columns="request").assign(
+            response=answer.mask(number == 3, "I cannot say.").mask(number == 5, '{"result": {}}'))
+
+
+@query
+def analysis_chain(spark, sf_dir):
+    """Numbered alerts to documents, answers and records, written in two runs of one name."""
+    root = new_table_dir(spark, "answers")
+    alerts = stage(number_rows(view(spark, sf_dir, "v_alerts"), [F.col("timestamp"), F.col("alert_id")],
+                               start=1, name="alert_index"), "numbered")
+    docs = stage(enrich(alerts, view(spark, sf_dir, "v_conn"), timed_logs(spark, sf_dir),
+                        id_col="alert_index"), "documents")
+    for _ in range(2):  # the rerun replaces the records of the first
+        answer_alerts(docs, rule_of_thumb, "You are an analyst.", TEMPLATE, f"{root}/analyses",
+                      f"{root}/quarantine", run="1")
+    conclusion = F.col("llm_analysis.result.conclusion")
+    records = read_analyses(spark, f"{root}/analyses").select(
+        "alert_index", F.lit("record").alias("kind"), conclusion["classification"].alias("content"),
+        conclusion["confidence_score"].alias("confidence"),
+        F.col("original_alert_signature").alias("signature"), F.col("enriched_prompt_file").alias("file"))
+    refused = spark.read.schema("alert_index long, response string").json(f"{root}/quarantine").select(
+        "alert_index", F.lit("refused").alias("kind"), F.col("response").alias("content"))
+    return records.unionByName(refused, allowMissingColumns=True)
+
+
+@query
+def document_evidence(spark, sf_dir):
+    """The entries of all evidence lists, read back from documents written as files."""
+    path = new_table_dir(spark, "documents")
+    write_documents(all_documents(spark, sf_dir).select(
+        "timestamp", F.to_json(F.struct("alert_id", "document")).alias("document")), path)
+    lines = spark.read.text(path).select(F.from_json("value", "alert_id long, document string").alias("d")).select("d.*")
+    return evidence_rows(lines).groupBy("alert_id", "collector", "kind", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def document_levels_read(spark, sf_dir):
+    """Severity levels decided anew from the documents, as published."""
+    return document_levels(all_documents(spark, sf_dir))
+
+
 @query
 def response_parse(spark, sf_dir):
     from alertloom.functions.jsontext import response_object
@@ -648,6 +734,22 @@ def triage_page(spark, sf_dir):
     return S.page(found, 2).select("alert_index", "alert_name", "llm_verdict")
 
 
+@query
+def triage_deep_page(spark, sf_dir):
+    """Two pages of one stored result, the first and one far behind it."""
+    path = new_table_dir(spark, "result")
+    S.store_result(served(spark, sf_dir), path)
+    pages = [S.stored_page(spark, path, n).select(F.lit(n).alias("page"), "alert_index", "unique_id") for n in (1, 90)]
+    return pages[0].unionByName(pages[1])
+
+
+@query
+def triage_details(spark, sf_dir):
+    """The time as it is shown and the whole result, or that there is none yet."""
+    return served(spark, sf_dir).select(
+        "unique_id", S.display_time(F.col("timestamp")).alias("shown"), "llm_result_json")
+
+
 @query
 def triage_page_size(spark, sf_dir):
     return S.result_size(S.search(served(spark, sf_dir), "rule 3"))

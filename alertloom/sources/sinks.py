@@ -16,9 +16,14 @@ def write_documents(documents: DataFrame, path: str, mode: str = "append") -> No
     )
 
 
-def write_analyses(analyses: DataFrame, path: str) -> None:
-    """Append analysis records; the commit protocol makes each append all-or-nothing."""
-    analyses.write.mode("append").json(path)
+def write_run(rows: DataFrame, path: str, run: str) -> None:
+    """JSON lines of one run, in a folder of its own: a rerun replaces them, so they count once."""
+    rows.write.mode("overwrite").json(f"{path}/run={run}")
+
+
+def write_analyses(analyses: DataFrame, path: str, run: str) -> None:
+    """The analysis records of one run beside those of others."""
+    write_run(analyses, path, run)
 
 
 def local_day(timestamp, zone: str = K.LOCAL_TIME_ZONE):
