@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom import constants as K
 from alertloom.functions.text import labels, sentence
 from alertloom.operators.collectors.base import evidence_rows, item, position
+from alertloom.operators.suffixes import with_domain_parts
 
 SINGLE_KINDS = {
     "server_names": "server_name",
@@ -140,3 +141,31 @@ class SslCollector:
             self.values(rows), "ssl", F.col("kind"), position(),
             item(value=F.col("value"), threat_name=F.col("threat_name")),
         )
+
+
+def weak_by_table(rows: DataFrame, weak: DataFrame) -> DataFrame:
+    """uid, kind, name: the weak protocols and ciphers of each session, from a table (kind, name)."""
+    named = rows.select("uid", F.inline(F.array(
+        F.struct(F.lit("protocol").alias("kind"), F.col("version").alias("name")),
+        F.struct(F.lit("cipher").alias("kind"), F.col("cipher").alias("name")))))
+    return named.distinct().join(weak, ["kind", "name"], "left_semi").select("uid", "kind", "name")
+
+
+def reputation_by_table(hosts: DataFrame, reputation: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, reputation of distinct hosts, from a table (kind, name, label) of domains and keywords.
+
+    A listed registered domain decides; else the words of a name do, adware before benign ones.
+    `rules` are those of a public suffix list.
+    """
+    split = with_domain_parts(hosts, "host", rules).withColumn(
+        "name", F.concat_ws(".", "parts.domain", "parts.suffix")).drop("parts")
+    domains = reputation.where("kind = 'domain'").select("name", F.col("label").alias("_domain"))
+    words = split.select("host", F.explode(F.array_union(
+        F.split(F.lower("host"), r"\."), F.split(F.lower("host"), "-"))).alias("name"))
+    keywords = reputation.where("kind = 'keyword'").select("name", "label")
+    # In order of their names, adware comes first.
+    by_word = words.join(keywords, "name").groupBy("host").agg(F.min("label").alias("_word"))
+    empty = F.coalesce(F.col("host"), F.lit("")) == ""
+    return split.join(domains, "name", "left").join(by_word, "host", "left").select(
+        "host", F.when(empty, "Unknown").otherwise(
+            F.coalesce("_domain", "_word", F.lit("Unknown Reputation"))).alias("reputation"))

@@ -67,6 +67,12 @@ oracle("alert_anti_log",
 oracle("alert_day_counts",
        """select cast(cast(cast(timestamp as timestamp) + interval 7 hour as date) as varchar)
        as local_day, count(*) as n from v_alerts group by 1""", "v_alerts")
+oracle("alert_array_backfill",
+       f"""select {hash_sql()} as alert_id, timestamp, source_port from v_alerts
+       where cast(cast(timestamp as timestamp) + interval 7 hour as date) = date '2024-01-10'""", "v_alerts")
+oracle("alert_path_values",
+       """select alert_id, case when alert_id % 3 = 0 then 'flat' else rule_name end as rule_name,
+       coalesce(rule_category, 'N/A') as rule_category, 'N/A' as rule_severity from v_alerts""", "v_alerts")
 oracle("alert_index",
        """select alert_id, timestamp,
        cast(row_number() over (order by timestamp, alert_id) as bigint) as alert_index
@@ -548,6 +554,13 @@ oracle("sni_reputation",
                                f"from v_ssl union all select host from {PAGE_HOSTS}) "
                                "group by host)", "host"))
 
+ORACLES["sni_reputation_join"] = ORACLES["sni_reputation"]
+oracle("ssl_weak_join",
+       f"""select distinct uid, 'protocol' as kind, version as name from v_ssl
+       where version in ({quoted(K.WEAK_PROTOCOLS)})
+       union all select distinct uid, 'cipher', cipher from v_ssl where cipher in ({quoted(K.WEAK_CIPHERS)})""",
+       "v_ssl")
+
 # --- files --------------------------------------------------------------------------------------
 
 EXTENSIONS = " or ".join(f"ends_with(lower(filename), '{e}')" for e in K.FILE_RISKY_EXTENSIONS)
@@ -694,6 +707,15 @@ oracle("analysis_chain",
              then 'refused' else 'record' end as kind
          from facts join (select alert_id, row_number() over (order by timestamp, alert_id) as alert_index
            from v_alerts) using (alert_id))""", *ALL_VIEWS, ctes=FACTS)
+oracle("evidence_levels_by_file",
+       """select alert_id, case when http_level is not null then 'reference' end as http_level,
+       case when dns_level is null then null when p.dns_low and not (p.files_medium and p.ssl_low)
+         then 'low' else 'reference' end as dns_level,
+       case when ssl_level is null then null when p.ssl_low then 'high' else 'reference' end as ssl_level,
+       case when files_level is null then null when not p.files_medium then 'reference'
+         when p.ssl_low then 'low' else 'high' end as files_level
+       from facts left join scopes s using (alert_id) left join rule_flags p on s.scope = p.uid""",
+       *ALL_VIEWS, ctes=FACTS)
 oracle("auto_fp_routing",
        """select alert_id,
        case when not has_connection and not has_evidence then 'False Positive' end
@@ -733,6 +755,9 @@ QUOTAS = ", ".join(
     f"('{label}', '{group}', {n})" for group, (labels, n) in K.TP_QUOTAS.items()
     for label in labels
 )
+oracle("mapped_csv_scan",
+       f"""select original_label, transport, count(*) as n, cast(sum(destination_port) as bigint) as ports
+       from ({ORACLES['map_alert_labels']}) group by original_label, transport""")
 oracle("quota_sample",
        """select row_key, timestamp, alert_name, source_ip, original_label,
        case when original_label = 'BENIGN' then 'FP' else 'TP' end as classification_label

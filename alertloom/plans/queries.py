@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from alertloom import constants as K
 from alertloom.functions import network, text
 from alertloom.operators import (
     documents as D, groundtruth as G, ingest as I, match as M, serving as S, verdicts as V,
@@ -20,15 +22,24 @@ from alertloom.plans.enrich import band_folders, enrich, pruned_conn, scoped_log
 from alertloom.plans.views import SUFFIX_HOSTS, SUFFIX_RULES, table, timed_view, view
 from alertloom.session import new_table_dir, stage
 from alertloom.sources import flows as flow_source, logs as log_source
-from alertloom.sources.alerts import alert_hash, read_analyses
+from alertloom.sources.alerts import (
+    alert_hash, alerts_of_day, flatten_alerts, path_value, read_alerts_json, read_analyses,
+)
 from alertloom.sources.discovery import sync_lines
 from alertloom.sources.logs import write_log_table
-from alertloom.sources.sinks import local_day, write_csv, write_documents
+from alertloom.sources.refdata import read_rules, reputation_table, suffix_rules, weak_settings
+from alertloom.sources.sinks import local_day, write_csv, write_documents, write_json
 from alertloom.streaming.connect import start_connect
 from alertloom.streaming.enrich import start_enrich
 from alertloom.streaming.forward import start_forward
 from alertloom.streaming.ingest import alert_lines, start_dedup, start_ingest, start_intake
 
+FILE_RULES = {
+    "HIGH": [{"collector": "ssl", "path": "analysis.handshake_status", "check": "equals", "value": "Failed"},
+             {"collector": "files", "path": "statistics.suspicious_files_count", "check": "gte", "value": 1}],
+    "LOW": [{"collector": "files", "path": "statistics.suspicious_files_count", "check": "gte", "value": 1},
+            {"collector": "dns", "path": "analysis.observed_ttl_behavior", "check": "startswith", "value": "Low"}],
+}
 TEMPLATE = "Judge this alert:\n{{ENRICHED_PROMPT}}\n"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,6 +110,32 @@ def alert_index(spark, sf_dir):
     )
 
 
+@query
+def alert_array_backfill(spark, sf_dir):
+    """One day's alerts, read from files that hold an array of nested alerts each."""
+    path = new_table_dir(spark, "arrays")
+    side = lambda end: F.struct(F.col(f"{end}_ip").alias("ip"), F.col(f"{end}_port").alias("port"))
+    nested = F.struct(F.col("timestamp").alias("@timestamp"), side("source").alias("source"),
+                      side("dest").alias("destination"), F.struct(F.col("rule_name").alias("name")).alias("rule"))
+    # Arrays of some hundred neighbouring alerts, a file each.
+    arrays = view(spark, sf_dir, "v_alerts").groupBy(F.floor(F.col("alert_id") / 2000)).agg(
+        F.to_json(F.collect_list(nested)).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    flat = flatten_alerts(read_alerts_json(spark, path, array_file=True))
+    return alerts_of_day(flat, "2024-01-10", K.LOCAL_TIME_ZONE).select("alert_id", "timestamp", "source_port")
+
+
+@query
+def alert_path_values(spark, sf_dir):
+    """Values of dotted paths: a flat column first, then the nested field, then the default."""
+    alerts = view(spark, sf_dir, "v_alerts")
+    nested = alerts.select(
+        "alert_id", F.struct(F.col("rule_name").alias("name"), F.col("rule_category").alias("category")).alias("rule"),
+        F.when(F.col("alert_id") % 3 == 0, "flat").alias("rule.name"))
+    return nested.select("alert_id", *[path_value(nested, path).alias(path.replace(".", "_")) for path in (
+        "rule.name", "rule.category", "rule.severity")])
+
+
 # --- matching ---------------------------------------------------------------------------------
 
 @query
@@ -482,6 +519,22 @@ def sni_reputation(spark, sf_dir):
     ).select("host", "n", network.sni_reputation(F.col("host")).alias("reputation"))
 
 
+@query
+def ssl_weak_join(spark, sf_dir):
+    """Weak protocols and ciphers of each session, by a table."""
+    return ssl.weak_by_table(view(spark, sf_dir, "v_ssl"), weak_settings(spark))
+
+
+@query
+def sni_reputation_join(spark, sf_dir):
+    """The reputation of server names by tables of domains, keywords and suffix rules."""
+    names = view(spark, sf_dir, "v_ssl").select(F.col("server_name").alias("host"))
+    seen = names.unionByName(page_hosts(spark, sf_dir)).groupBy("host").agg(F.count("*").alias("n"))
+    told = ssl.reputation_by_table(seen.select("host"), reputation_table(spark), suffix_rules(spark))
+    return seen.withColumnRenamed("host", "_host").join(told, F.col("_host").eqNullSafe(F.col("host"))).select(
+        "host", "n", "reputation")
+
+
 # --- files --------------------------------------------------------------------------------------
 
 @query
@@ -562,6 +615,16 @@ def evidence_levels(spark, sf_dir):
     )
 
 
+@query
+def evidence_levels_by_file(spark, sf_dir):
+    """Levels by rules that come from a JSON file."""
+    path = new_table_dir(spark, "rules")
+    spark.createDataFrame([(json.dumps(FILE_RULES),)], "value string").write.text(path)
+    docs = enrich(view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn"), timed_logs(spark, sf_dir),
+                  rules=read_rules(spark, path), id_col="alert_id")
+    return docs.select("alert_id", "http_level", "dns_level", "ssl_level", "files_level")
+
+
 @query
 def auto_fp_routing(spark, sf_dir):
     docs = all_documents(spark, sf_dir)
@@ -662,6 +725,17 @@ def map_alert_labels(spark, sf_dir):
     return G.map_alerts(alerts, flows)
 
 
+@query
+def mapped_csv_scan(spark, sf_dir):
+    """Mapped alerts handed on as CSV, read back, and handed on as JSON lines."""
+    root = new_table_dir(spark, "mapped")
+    write_csv(map_alert_labels(spark, sf_dir), f"{root}/csv")
+    mapped = flow_source.read_mapped(spark, f"{root}/csv")
+    write_json(mapped, f"{root}/json")
+    return spark.read.schema(mapped.schema).json(f"{root}/json").groupBy("original_label", "transport").agg(
+        F.count("*").alias("n"), F.sum("destination_port").alias("ports"))
+
+
 @query
 def quota_sample(spark, sf_dir):
     return G.with_class(G.quota_sample(view(spark, sf_dir, "v_mapped"), "row_key"))

@@ -63,10 +63,9 @@ def suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(kept, "rule STRING")
 
 
-def read_rules(path: str) -> list[tuple[str, str, str, str, object]]:
-    """Severity rules from a JSON file: {level: [{collector, path, check, value}, ...]}."""
-    with open(path, encoding="utf-8") as f:
-        by_level = json.load(f)
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str, str, object]]:
+    """Severity rules from a JSON file that Spark reads: {level: [{collector, path, check, value}, ...]}."""
+    by_level = json.loads(spark.read.text(path, wholetext=True).first()["value"])
     return [
         (level.lower(), r["collector"], r["path"], r["check"], r["value"])
         for level, rules in by_level.items() for r in rules

@@ -199,6 +199,6 @@ def test_path_value_prefers_flat_columns(spark):
 def test_configuration_files(tmp_path):
     rules = write_lines(tmp_path / "rules.json", [json.dumps({"HIGH": [
         {"collector": "dns", "path": "analysis.a", "check": "gte", "value": 3}]})])
-    assert read_rules(rules) == [("high", "dns", "analysis.a", "gte", 3)]
+    assert read_rules(spark, rules) == [("high", "dns", "analysis.a", "gte", 3)]
     suffixes = write_lines(tmp_path / "psl.dat", ["// list", "com", "*.ck", ""])
     assert public_suffixes(suffixes) == ["com", "*.ck"]
