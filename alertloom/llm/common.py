@@ -8,6 +8,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from alertloom.session import stage
+
 #: Bytes of rows that a Python task holds at a time, but for a single longer row.
 BATCH_BYTES = 4 << 20
 #: A key filter has this many bitmaps of 4 KB, so its broadcast is 1 MB at the very most.
@@ -82,15 +84,19 @@ def mark_keys(rows: DataFrame, bitmap: DataFrame, columns: Sequence[str], name:
 def without_rows(docs: DataFrame, dropped: DataFrame, key: dict[str, Column]) -> DataFrame:
     """`docs` without the rows whose key is in `dropped`; nulls equal nulls.
 
-    `key` maps the columns of `dropped` to expressions over `docs`. Rows that the key filter
-    clears pass in the scan; only the others, the dropped rows and a few more, are shuffled.
+    `key` maps the columns of `dropped` to expressions over `docs`, the first of them cheap. Rows
+    that the key filter clears by the first pass in the scan; only the others, the dropped rows and a few
+    more, have the rest of their key computed and are shuffled. They meet the dropped keys in a left
+    join, since a semi or anti join would be pushed below the filter, to all rows.
     """
-    names = [f"__{k}" for k in key]
-    gone = dropped.select(*(F.col(k).alias(f"__gone_{k}") for k in key)).distinct()
-    bitmap = key_filter(gone, gone.columns)
-    packed = docs.select(F.struct("*").alias("row"), *(v.alias(f"__{k}") for k, v in key.items()))  # no name can clash
-    marked = mark_keys(packed, bitmap, names, "__seen")
-    suspects = marked.filter("__seen")
+    first, *rest = key
+    gone = stage(dropped.select(*(F.col(k).alias(f"__gone_{k}") for k in key), F.lit(True).alias("__gone")).distinct(),
+                 "dropped-keys")
+    bitmap = key_filter(gone, [f"__gone_{first}"])
+    packed = docs.select(F.struct("*").alias("row"), key[first].alias(f"__{first}"))  # no name can clash
+    marked = mark_keys(packed, bitmap, [f"__{first}"], "__seen")
+    suspects = marked.filter("__seen").select("row.*", F.col("row").alias("__row"), f"__{first}")
+    suspects = suspects.select("__row", f"__{first}", *(key[k].alias(f"__{k}") for k in rest))
     same = reduce(and_, (F.col(f"__{k}").eqNullSafe(F.col(f"__gone_{k}")) for k in key))
-    left = suspects.join(gone, same, "left_anti")
-    return marked.filter(~F.col("__seen")).unionByName(left).select("row.*")
+    left = suspects.join(gone, same, "left").filter("__gone IS NULL").select(F.col("__row").alias("row"))
+    return marked.filter(~F.col("__seen")).select("row").unionByName(left).select("row.*")

@@ -48,18 +48,24 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (identifies the set; null if empty), sketch of each document."""
+    """doc_id, digest, n_shingles, key (identifies the set; null if empty), sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(keys, pa.binary()), pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "key", "sketch"])
+                ["doc_id", "digest", "n_shingles", "key", "sketch"])
 
-    return _narrow(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", nameless_digest().alias("digest"))
+    return narrow.mapInArrow(run, "doc_id long, digest string, n_shingles long, key binary, sketch array<long>")
+
+
+def nameless_digest() -> Column:
+    """What tells documents without an id apart: a digest of the text, null for all others."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -208,7 +214,12 @@ def intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, as `told_groups` finds them."""
+    return told_groups(docs).drop("digest")
+
+
+def told_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, digest (of documents without an id), n_shingles, component_id, kept.
 
     Documents with equal sets form a class first, and one of each class stands for it. Candidates
     come from the inverted lists in two rounds: each set meets leaders of its lists, verified
@@ -243,15 +254,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
         classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select("key", F.coalesce("component", "rep").alias("component_id")),
         "placed-classes")
-    grouped = sets.join(placed, "key").select("doc_id", "n_shingles", "component_id")
-    alone = known.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = sets.join(placed, "key").select("doc_id", "digest", "n_shingles", "component_id")
+    alone = known.filter("key IS NULL").select(
+        "doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates, all columns kept."""
-    dropped = near_groups(docs).filter(~F.col("kept"))
-    return without_rows(docs, dropped.select("doc_id"), {"doc_id": F.col("doc_id").cast("long")})
+    """`docs` with one document of each group of near-duplicates, all columns kept.
+
+    Documents without an id are told apart by their texts, so one that goes takes no other along.
+    """
+    dropped = told_groups(docs).filter(~F.col("kept")).select("doc_id", "digest")
+    return without_rows(docs, dropped, {"doc_id": F.col("doc_id").cast("long"), "digest": nameless_digest()})
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from alertloom.llm import bwt_repeats, chat_format, source_mix
+from alertloom.llm import bwt_repeats, chat_format, exact_dedup, minhash_dedup, source_mix
 from alertloom.llm.language_id import code_words
 from alertloom.llm.sentence_pieces import MODEL, decode, encode, load
 from alertloom.llm.window_anchors import LENGTH, anchored
@@ -79,3 +79,23 @@ def test_pipeline_stages(spark, tables, documents):
 
 def test_pipeline_over_empty_tables(spark, no_rows):
     assert corpus_pipeline.run(spark, no_rows).count() == 0
+
+
+TEXT = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+
+
+@pytest.mark.parametrize("dedup", [minhash_dedup.near_dedup, exact_dedup.exact_dedup])
+def test_rows_without_an_id_are_told_apart(spark, dedup):
+    other = TEXT[::-1]
+    rows = [(1, TEXT, "a"), (None, TEXT, "b"), (None, other, "c"), (None, None, "d"), (4, "", "e"), (5, TEXT + " nu " + other, "f")]
+    kept = sorted((r["doc_id"] or 0, r["row"]) for r in dedup(spark.createDataFrame(rows, "doc_id int, text string, row string")).collect())
+    near = [(0, "d")] if dedup is minhash_dedup.near_dedup else []  # without a word, nothing is near
+    assert kept == [(0, "c"), *near, (1, "a"), (4, "e"), (5, "f")]
+
+
+def test_only_suspects_are_shuffled(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    hashing = [line for line in plan.splitlines() if "sha2(" in line]
+    assert len(hashing) == 1 and plan.startswith("Union")  # the digest is computed on one branch alone
