@@ -37,35 +37,34 @@ def term_counts(docs: DataFrame) -> DataFrame:
     is known even without terms. Each task counts before anything is shuffled.
     """
 
-    def rows_of(found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]]) -> pa.RecordBatch:
-        rows = [(*group, None, 0, 0) for group in found]
-        rows += [(*group, term.decode(), n, held[term])
-                 for group, (counts, held) in found.items() for term, n in counts.items()]
-        columns = zip(*rows, strict=True) if rows else [()] * len(_COUNTS)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
         for batch in batches:
             for lang, source, text in zip(
                     batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
-                own = Counter(text.as_py().encode().translate(_TERMS).split())
+                terms = text.as_py().encode().translate(_TERMS).split()
                 counts, held = found.setdefault((lang, source), (Counter(), Counter()))
-                counts.update(own)
-                held.update(own.keys())
+                counts.update(terms)
+                held.update(set(terms))
             if sum(len(counts) for counts, _ in found.values()) >= HELD_TERMS:
-                yield rows_of(found)
+                yield from _count_rows(found)
                 found = {}
-        yield rows_of(found)
+        yield from _count_rows(found)
 
     empty = F.lit("")
     narrow = docs.select(*(F.coalesce(c, empty).alias(c) for c in ("lang", "source", "text")))
-    counted = narrow.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
-_COUNTS = pa.schema([(c, pa.string()) for c in ("lang", "source", "term")] + [(c, pa.int64()) for c in ("n", "docs")])
+    counted = narrow.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    named = counted.withColumn("term", F.col("term").cast("string"))
+    return named.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _count_rows(found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]]) -> Iterator[pa.RecordBatch]:
+    """A batch for each group: the null term, and each term with its counts."""
+    for group, (counts, held) in found.items():
+        columns = [pa.repeat(name, len(counts) + 1) for name in group]
+        columns += [pa.array([None, *counts], pa.binary()), pa.array([0, *counts.values()], pa.int64()),
+                    pa.array([0, *map(held.__getitem__, counts)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
