@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom import constants as K
 from alertloom.operators.collectors.base import Collector
-from alertloom.operators.documents import PART_LIMIT, default_collectors, documents, sessions
+from alertloom.operators.documents import (
+    PART_LIMIT, default_collectors, documents, session_summaries, sessions,
+)
 from alertloom.operators.match import (
     HALF_US, band_hours, hour_folders, match_alerts, scoped_rows, session_scopes, with_row_key,
 )
@@ -44,6 +47,53 @@ def band_folders(alerts: DataFrame, half_us: int = HALF_US) -> DataFrame:
     return timed.select(F.explode(hour_folders(hours)).alias("f")).select("f.*")
 
 
+class Seen(NamedTuple):
+    """Alerts with their matches (id, uid, conn, matched_by, scope) and the staged rows of each scope."""
+
+    alerts: DataFrame
+    id_col: str
+    matched: DataFrame
+    scopes: DataFrame
+    logs: dict[str, DataFrame]
+
+
+def look_up(alerts: DataFrame, conn: DataFrame, logs: dict[str, DataFrame],
+            collectors: Sequence[Collector], half_us: int = HALF_US, id_col: str | None = None) -> Seen:
+    """Match alerts, and read from each log what concerns them, once."""
+    if id_col is None:
+        alerts, id_col = with_row_key(alerts), "alert_row"
+    near = in_folders(conn, band_folders(alerts, half_us))
+    matched = stage(match_alerts(alerts, near, half_us, id_col), "matched")
+    scopes, rows = scoped_logs(alerts, matched, {c.name: logs[c.name] for c in collectors},
+                               half_us, id_col)
+    own = stage_all({c.name: c.prepare(rows[c.name]) for c in collectors})
+    told = matched.join(scopes.select(id_col, "scope"), id_col)
+    return Seen(alerts, id_col, told, scopes.select(F.col("scope").alias("uid")), own)
+
+
+def alert_levels(
+    alerts: DataFrame, conn: DataFrame, logs: dict[str, DataFrame],
+    collectors: Sequence[Collector] | None = None, rules=K.SEVERITY_RULES,
+    half_us: int = HALF_US, id_col: str | None = None,
+) -> DataFrame:
+    """The facts of each alert's document without the document: what it has, and its levels.
+
+    Levels come from the summaries of sessions, so no evidence table is built.
+    """
+    collectors = list(collectors or default_collectors())
+    seen = look_up(alerts, conn, logs, collectors, half_us, id_col)
+    totals = stage_all({c.name: c.totals(seen.logs[c.name]) for c in collectors})
+    summary = session_summaries(seen.scopes, totals, collectors, rules)
+    levels = summary.select(
+        F.col("uid").alias("scope"), *[F.col(c.name)["level"].alias(f"{c.name}_level") for c in collectors])
+    known = seen.alerts.join(seen.matched.select(seen.id_col, "uid", "scope"), seen.id_col, "left")
+    return known.join(stage(levels, "levels"), "scope", "left").select(
+        *dict.fromkeys([seen.id_col, "alert_id"]), "rule_name",
+        F.col("uid").isNotNull().alias("has_connection"),
+        F.coalesce(*[F.col(f"{c.name}_level") for c in collectors]).isNotNull().alias("has_evidence"),
+        *[f"{c.name}_level" for c in collectors])
+
+
 def enrich(
     alerts: DataFrame, conn: DataFrame, logs: dict[str, DataFrame],
     collectors: Sequence[Collector] | None = None, rules=K.SEVERITY_RULES,
@@ -58,14 +108,6 @@ def enrich(
     an alert. `id_col` names a column that tells the rows apart; without it they are numbered.
     """
     collectors = list(collectors or default_collectors())
-    if id_col is None:
-        alerts, id_col = with_row_key(alerts), "alert_row"
-    near = in_folders(conn, band_folders(alerts, half_us))
-    matched = stage(match_alerts(alerts, near, half_us, id_col), "matched")
-    scopes, rows = scoped_logs(alerts, matched, {c.name: logs[c.name] for c in collectors},
-                               half_us, id_col)
-    own = stage_all({c.name: c.prepare(rows[c.name]) for c in collectors})
-    uids = scopes.select(F.col("scope").alias("uid"))
-    session = sessions(uids, own, collectors, rules, limit)
-    told = matched.join(scopes.select(id_col, "scope"), id_col)
-    return documents(alerts, told, session, [c.name for c in collectors], id_col)
+    seen = look_up(alerts, conn, logs, collectors, half_us, id_col)
+    session = sessions(seen.scopes, seen.logs, collectors, rules, limit)
+    return documents(seen.alerts, seen.matched, session, [c.name for c in collectors], seen.id_col)

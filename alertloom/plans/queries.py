@@ -18,7 +18,9 @@ from alertloom.operators.readback import document_levels, evidence_rows
 from alertloom.operators.suffixes import with_domain_parts
 from alertloom.operators.timefiles import covering_file
 from alertloom.plans.answers import answer_alerts
-from alertloom.plans.enrich import band_folders, enrich, pruned_conn, scoped_logs
+from alertloom.plans.enrich import (
+    alert_levels, band_folders, enrich, pruned_conn, scoped_logs,
+)
 from alertloom.plans.views import SUFFIX_HOSTS, SUFFIX_RULES, table, timed_view, view
 from alertloom.session import new_table_dir, stage
 from alertloom.sources import flows as flow_source, logs as log_source
@@ -607,9 +609,16 @@ def document_facts(spark, sf_dir):
     )
 
 
+def all_levels(spark, sf_dir, rules=K.SEVERITY_RULES):
+    return alert_levels(
+        view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn"),
+        timed_logs(spark, sf_dir), rules=rules, id_col="alert_id",
+    )
+
+
 @query
 def evidence_levels(spark, sf_dir):
-    return all_documents(spark, sf_dir).select(
+    return all_levels(spark, sf_dir).select(
         "alert_id", "has_connection", "has_evidence", "http_level", "dns_level", "ssl_level",
         "files_level",
     )
@@ -620,14 +629,12 @@ def evidence_levels_by_file(spark, sf_dir):
     """Levels by rules that come from a JSON file."""
     path = new_table_dir(spark, "rules")
     spark.createDataFrame([(json.dumps(FILE_RULES),)], "value string").write.text(path)
-    docs = enrich(view(spark, sf_dir, "v_alerts"), view(spark, sf_dir, "v_conn"), timed_logs(spark, sf_dir),
-                  rules=read_rules(spark, path), id_col="alert_id")
-    return docs.select("alert_id", "http_level", "dns_level", "ssl_level", "files_level")
+    return all_levels(spark, sf_dir, read_rules(spark, path)).select("alert_id", "http_level", "dns_level", "ssl_level", "files_level")
 
 
 @query
 def auto_fp_routing(spark, sf_dir):
-    docs = all_documents(spark, sf_dir)
+    docs = all_levels(spark, sf_dir)
     verdict = V.default_verdict(F.col("rule_name"))
     return docs.select(
         "alert_id",
