@@ -100,7 +100,7 @@ def test_search_and_pages(spark, monkeypatch):
     assert early == [list(range(44, 24, -1)), list(range(24, 4, -1)), [4, 3, 2, 1, 0],
                      [4, 3, 2, 1, 0]]
     assert S.page(v, 1, ground_truth=True).first()["alert_index"] == 0
-    monkeypatch.setattr(S, "DEEP_PAGE_ROWS", 0)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
     assert [[r["alert_index"] for r in S.page(v, p).collect()] for p in (1, 2, 3, 9)] == early
 
 
@@ -120,7 +120,7 @@ def test_default_verdicts(spark):
 
 
 def test_requests_and_responses(spark):
-    requests = V.request_rows(docs(spark), "m", "system text")
+    requests = V.request_rows(docs(spark), "m", "system text", "# CONTEXT\n{{ENRICHED_PROMPT}}\n")
     body = json.loads(requests.first()["request"])
     assert body["messages"][0] == {"role": "system", "content": "system text"}
     assert '# CONTEXT\n{"alert":{}}\n' in body["messages"][1]["content"]

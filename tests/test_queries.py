@@ -13,7 +13,7 @@ from alertloom.functions.text import CONTENT_REASONS
 from alertloom.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["events", "documents", "pages", "labels", "conversations", "orders"]
+TABLES = ["events", "documents", "pages", "labels", "conversations", "orders", "customer", "nation"]
 
 
 @pytest.fixture(scope="module")

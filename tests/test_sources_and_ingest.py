@@ -196,7 +196,7 @@ def test_path_value_prefers_flat_columns(spark):
     assert only.select(path_value(only, "rule.name")).first()[0] == "nested"
 
 
-def test_configuration_files(tmp_path):
+def test_configuration_files(spark, tmp_path):
     rules = write_lines(tmp_path / "rules.json", [json.dumps({"HIGH": [
         {"collector": "dns", "path": "analysis.a", "check": "gte", "value": 3}]})])
     assert read_rules(spark, rules) == [("high", "dns", "analysis.a", "gte", 3)]
