@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.llm import exact_dedup, language_id, minhash_dedup, sentence_pieces, source_mix
+from alertloom.llm.common import bound_batches
 from alertloom.session import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and not ambiguous."""
+    bound_batches(spark)
     return language_id.keep_identified(docs)
 
 
@@ -20,6 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bound_batches(spark)
     return minhash_dedup.near_dedup(docs)
 
 
