@@ -19,7 +19,7 @@ from alertloom.llm.common import bound_batches
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of documents taken together; their distinct words are indexed as one text.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Known pairs of neighbours before the table is cleared and filled again.
 MAX_PAIRS = 1_000_000
 NORMAL, BYTE = 1, 6
@@ -57,7 +57,7 @@ class PieceModel:
         self.piece_ids = np.array([self.ids[p] for p in self.pieces], np.int32)
         self.width = int(self.sizes.max())
         self.single = {ord(p): k for k, p in enumerate(self.pieces) if len(p) == 1}
-        laid = np.zeros((len(self.pieces), self.width), np.int64)
+        laid = np.zeros((len(self.pieces), self.width), np.int32)
         for k, p in enumerate(self.pieces):
             laid[k, :len(p)] = [ord(c) + 1 for c in p]
         self.codes = laid
@@ -86,7 +86,7 @@ class PieceModel:
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Places sorted by the `depth` codes that begin there, by prefix doubling from three codes on."""
-    padded = np.concatenate([codes + 1, [0, 0]]).astype(np.int64)  # 21 bits a code
+    padded = np.concatenate([codes + 1, [0, 0]]).astype(np.int64)  # 21 bits a code, three in a key
     key = padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:]
     have = 3
     while True:
@@ -106,9 +106,9 @@ def occurrences(codes: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nd
     Each piece is searched in the suffix array by halving: from the first suffix that is not below
     it to the first that is above everything that begins with it.
     """
-    order = suffix_array(codes, model.width)
-    padded = np.concatenate([codes + 1, np.zeros(model.width, np.int64)])
-    across = np.arange(model.width)
+    order = suffix_array(codes, model.width).astype(np.int32)
+    padded = np.concatenate([codes + 1, np.zeros(model.width, np.int32)])
+    across = np.arange(model.width, dtype=np.int32)
     inside = across[None] < model.sizes[:, None]
 
     def bound(above: bool) -> np.ndarray:
@@ -129,7 +129,7 @@ def occurrences(codes: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.nd
     n = last - first
     ends = np.cumsum(n)
     rows = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(first, n)
-    return order[rows].astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return order[rows], np.repeat(np.arange(len(n), dtype=np.int32), n)
 
 
 def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.nd
     the one piece that fits the piece which reached its begin.
     """
     sizes = np.array([len(w) for w in words])
-    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
     ends = np.cumsum(sizes)
     laid = np.insert(codes, ends, _END)
     begins = ends - sizes + np.arange(len(words))
