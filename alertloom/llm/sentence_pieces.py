@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -84,11 +85,18 @@ class PieceModel:
         return good
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by the `depth` codes that begin there, by prefix doubling from three codes on."""
-    padded = np.concatenate([codes + 1, [0, 0]]).astype(np.int64)  # 21 bits a code, three in a key
-    key = padded[:-2] << 42 | padded[1:-1] << 21 | padded[2:]
-    have = 3
+def packed(codes: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """For each place the codes from there on in one integer, zeros beyond the end, and how many they are."""
+    per = 63 // bits
+    padded = np.concatenate([codes, np.zeros(per, codes.dtype)])
+    key = np.zeros(len(codes), np.int64)
+    for k in range(per):
+        key = key << bits | padded[k:k + len(codes)]
+    return key, per
+
+
+def suffix_array(key: np.ndarray, have: int, depth: int) -> np.ndarray:
+    """Places sorted by the `depth` codes that begin there, by prefix doubling from `have` codes in `key` on."""
     while True:
         order = np.argsort(key)
         if have >= depth:
@@ -103,33 +111,50 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
 def occurrences(codes: np.ndarray, model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
     """Places and piece numbers of every occurrence of every piece in the text.
 
-    Each piece is searched in the suffix array by halving: from the first suffix that is not below
-    it to the first that is above everything that begins with it.
+    Characters are numbered anew, by the slice's own alphabet, so that an integer packs as many as it can.
+    Each piece is searched in the suffix array by halving, some characters at a time: from the first
+    suffix that is not below it to the first that is above everything that begins with it.
     """
-    order = suffix_array(codes, model.width).astype(np.int32)
-    padded = np.concatenate([codes + 1, np.zeros(model.width, np.int32)])
-    across = np.arange(model.width, dtype=np.int32)
-    inside = across[None] < model.sizes[:, None]
-
-    def bound(above: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(model.pieces), np.int64), np.full(len(model.pieces), len(codes))
-        for _ in range(int(len(codes)).bit_length() + 1):
-            open_ = lo < hi
-            mid = np.minimum((lo + hi) // 2, len(codes) - 1)
-            there = np.where(inside, padded[order[mid][:, None] + across], 0)
-            differs = there != model.codes
-            first = differs.argmax(axis=1)
-            rows = np.arange(len(mid))
-            less = there[rows, first] < model.codes[rows, first]
-            below = np.where(differs.any(axis=1), less, above)
-            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-        return lo
-
-    first, last = bound(False), bound(True)
-    n = last - first
+    alphabet = np.unique(codes)
+    bits = int(len(alphabet) + 1).bit_length()
+    number = np.zeros(_END + 2, np.int32)  # code points are kept plus one; others have no number
+    number[alphabet + 1] = np.arange(1, len(alphabet) + 1)
+    key, per = packed(number[codes + 1], bits)
+    order = suffix_array(key, per, model.width)
+    wanted = number[model.codes]
+    piece = np.flatnonzero(((wanted > 0) | (model.codes == 0)).all(axis=1))
+    wanted, sizes = wanted[piece], model.sizes[piece]
+    first, last = np.zeros(len(piece), np.int64), np.full(len(piece), len(codes))
+    for begin in range(0, model.width, per):
+        there = np.flatnonzero((sizes > begin) & (first < last))
+        low, high = np.zeros(len(there), np.int64), np.zeros(len(there), np.int64)
+        for k in range(begin, begin + per):
+            own = wanted[there, k] if k < model.width else np.zeros(len(there), np.int32)
+            low, high = low << bits | own, high << bits | np.where(own > 0, own, (1 << bits) - 1)
+        if begin == 0:
+            ranked = key[order]
+            first[there], last[there] = np.searchsorted(ranked, low), np.searchsorted(ranked, high, "right")
+            continue
+        after = np.concatenate([key[begin:], np.zeros(begin, np.int64)])
+        ends = first[there], last[there]
+        first[there] = _halved(after, order, *ends, low)
+        last[there] = _halved(after, order, *ends, high + 1)
+    n = np.maximum(last - first, 0)
     ends = np.cumsum(n)
     rows = np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(first, n)
-    return order[rows], np.repeat(np.arange(len(n), dtype=np.int32), n)
+    return order[rows].astype(np.int32), np.repeat(piece.astype(np.int32), n)
+
+
+def _halved(key: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each range of `order` the first row whose key is not below `wanted`, or the range's end."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        below = key[order[mid]] < wanted[open_]
+        lo[open_[below]], hi[open_[~below]] = mid[below] + 1, mid[~below]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
 
 
 def encode_words(words: list[str], model: PieceModel) -> tuple[np.ndarray, np.ndarray]:
@@ -209,13 +234,13 @@ def encode(texts: list[str | None], model: PieceModel) -> list[np.ndarray]:
             held.append(i)
             size += len(text)
         if held and (size >= SLICE or i == len(texts) - 1):
-            number: dict[str, int] = {}
-            of = [[number.setdefault(w, len(number)) for w in _WORD.findall((BLANK + texts[k]).replace(" ", BLANK))]
+            number: defaultdict[str, int] = defaultdict()
+            number.default_factory = number.__len__  # a word that is not known gets the next number
+            of = [np.fromiter(map(number.__getitem__, _WORD.findall((BLANK + texts[k]).replace(" ", BLANK))), np.int32)
                   for k in held]
             ids, counts = encode_words(list(number), model)
             begins = np.cumsum(counts) - counts
-            for k, words in zip(held, of, strict=True):
-                own = np.array(words)
+            for k, own in zip(held, of, strict=True):
                 n = counts[own]
                 last = np.cumsum(n)
                 found[k] = ids[np.arange(int(last[-1])) - np.repeat(last - n, n) + np.repeat(begins[own], n)]
