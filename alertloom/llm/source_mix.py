@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: iterative proportional fitting, then calibrated sampling."""
+"""Mixing sources to target weights: bounded iterative proportional fitting, then sampling by its probabilities."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ TOPICS = {"prose": 0.80, "list": 0.10, "table": 0.05, "markup": 0.05}
 #: Share of all tokens that the sample holds.
 BUDGET = 0.5
 ROUNDS, TOLERANCE = 200, 1e-9
+#: Beyond this factor a value's target cannot be met beside the others.
+MAX_FACTOR = 1e12
 
 
 def n_tokens(text: Column) -> Column:
@@ -42,59 +44,109 @@ def topic_of(text: Column) -> Column:
 
 @dataclass
 class Mix:
-    """Factor per cell of the sides, and the scale that makes the expected sample meet the budget."""
+    """Inclusion probability per cell of the sides, and how far the sample then is from its targets."""
 
     targets: Mapping[str, Mapping[str, float]]
-    weights: dict[tuple, float] = field(default_factory=dict)
+    budget: float
+    cells: dict[tuple, float] = field(default_factory=dict)
     probability: dict[tuple, float] = field(default_factory=dict)
+    #: Largest gap between the wanted and the expected tokens of a value, as a share of the sample.
+    gap: float = 0.0
 
 
-def rake(cells: Mapping[tuple, float], targets: Mapping[str, Mapping[str, float]]) -> dict[tuple, float]:
-    """Token shares per cell that meet each side's target shares, in proportion to `cells` otherwise.
+def reachable(goal: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Goals of one side cut to the tokens there are; what is cut off goes to the others in proportion.
 
-    Targets without tokens cannot be met; the shares of the others are scaled up to 1. Sides are
-    fitted in turn until no share moves by more than TOLERANCE.
+    Goals without any weight fall back to the tokens held, so the sum is kept wherever the tokens allow it.
+    """
+    goal, wanted = goal.astype(float), min(goal.sum(), held.sum())
+    full = np.zeros(len(goal), bool)
+    while True:
+        open_ = ~full
+        left = max(wanted - held[full].sum(), 0.0)
+        weight = goal[open_] if goal[open_].sum() > 0 else held[open_]
+        cut = np.where(full, held, 0.0)
+        if weight.sum() > 0:
+            cut[open_] = weight * (left / weight.sum())
+        over = open_ & (cut > held)
+        if not over.any():
+            return cut
+        full |= over
+
+
+def factor(tokens: np.ndarray, weight: np.ndarray, goal: float) -> float:
+    """The one x for which the tokens, each cell by its weight times x but at most whole, sum to the goal.
+
+    The sum is piecewise linear in x; cells become whole in the order of falling weight.
+    """
+    order = np.argsort(-weight, kind="stable")
+    order = order[weight[order] > 0]
+    n, w = tokens[order], weight[order]
+    if not len(n) or goal >= n.sum():
+        return 1.0 / w.min() if len(n) else 1.0
+    whole = np.concatenate([[0.0], np.cumsum(n)[:-1]])
+    rest = np.cumsum((n * w)[::-1])[::-1]
+    x = (goal - whole) / rest
+    return float(max(x[np.flatnonzero(x * w <= 1.0 + 1e-12)[0]], 0.0))
+
+
+def rake(cells: Mapping[tuple, float], targets: Mapping[str, Mapping[str, float]], budget: float = BUDGET) -> Mix:
+    """Probabilities that meet each side's target shares of the budget, in proportion to `cells` otherwise.
+
+    Bounded proportional fitting: a cell's probability is the product of one factor per side, at most
+    1. Sides are fitted in turn, and the factor of a value is the one that meets its target with the caps in force,
+    so what a whole cell cannot give is raked from the free cells of the same value. Targets of a
+    value beyond its tokens are cut to them and the others of its side scaled up. Targets that can only not be
+    met together leave a `gap`; every cell without tokens is kept whole, as it costs nothing.
     """
     keys = sorted(k for k, n in cells.items() if n > 0)
+    mix = Mix(targets, budget, dict(cells), {k: 1.0 for k in cells})
     if not keys:
-        return {}
-    share = np.array([float(cells[k]) for k in keys])
-    share /= share.sum()
-    sides = []
+        return mix
+    tokens = np.array([float(cells[k]) for k in keys])
+    total = tokens.sum() * budget
+    sides_ = []
     for at, wanted in enumerate(targets.values()):
-        own = [k[at] for k in keys]
-        names = sorted(set(own))
-        place = np.array([names.index(x) for x in own])
+        names = sorted({k[at] for k in keys})
+        place = np.array([names.index(k[at]) for k in keys])
+        held = np.bincount(place, tokens, len(names))
         goal = np.array([max(wanted.get(x, 0.0), 0.0) for x in names])
-        sides.append((place, goal / goal.sum() if goal.sum() else np.full(len(names), 1 / len(names))))
+        goal = reachable(goal * (total / goal.sum()) if goal.sum() else held * budget, held)
+        sides_.append((place, goal, np.ones(len(names))))
+    weight = np.full(len(keys), float(budget))
     for _ in range(ROUNDS):
-        before = share.copy()
-        for place, goal in sides:
-            held = np.bincount(place, share, len(goal))
-            share = share * np.divide(goal, held, out=np.zeros_like(held), where=held > 0)[place]
-        if np.abs(share - before).max() < TOLERANCE:
+        for place, goal, factors in sides_:
+            for v in range(len(goal)):
+                own = np.flatnonzero(place == v)
+                before = weight[own] / factors[v] if factors[v] else weight[own]
+                factors[v] = min(factor(tokens[own], before, goal[v]), MAX_FACTOR)
+                weight[own] = before * factors[v] if factors[v] else 0.0
+        expected = tokens * np.minimum(weight, 1.0)
+        mix.gap = max(float(np.abs(np.bincount(p, expected, len(g)) - g).max()) for p, g, _ in sides_) / max(total, 1.0)
+        if mix.gap < TOLERANCE:
             break
-    return dict(zip(keys, share.tolist(), strict=True))
+    mix.probability.update(zip(keys, np.minimum(weight, 1.0).tolist(), strict=True))
+    return mix
+
+
+REPORT = "side string, value string, tokens long, target double, attained double, reachable boolean"
 
 
-def calibrate(cells: Mapping[tuple, float], shares: Mapping[tuple, float], budget: float) -> dict[tuple, float]:
-    """Inclusion probability of each cell: its share of the budget over its tokens, at most 1.
+def attained(spark: SparkSession, mix: Mix) -> DataFrame:
+    """One row per value of each side: its tokens, target and expected share, and if its own tokens suffice.
 
-    Cells that would need more than all their documents give what they have; the rest of
-    the budget goes to the others in proportion, so the expected tokens meet the budget if they can.
+    A value that no document has is listed with no tokens. The table has one row per value of the targets.
     """
-    total = sum(cells.values()) * budget
-    full: set[tuple] = set()
-    while True:
-        left = total - sum(cells[k] for k in full)
-        open_ = {k: s for k, s in shares.items() if k not in full and s > 0}
-        mass = sum(open_.values())
-        scale = max(left, 0.0) / mass if mass else 0.0
-        over = {k for k, s in open_.items() if s * scale > cells[k]}
-        if not over:
-            return {k: 1.0 if k in full else shares.get(k, 0.0) * scale / n if n else 1.0
-                    for k, n in cells.items()}
-        full |= over
+    kept = {k: n * mix.probability[k] for k, n in mix.cells.items()}
+    total, whole = sum(kept.values()), sum(mix.cells.values()) * mix.budget
+    rows = []
+    for at, (side, wanted) in enumerate(mix.targets.items()):
+        for value in sorted({*wanted, *(k[at] for k in mix.cells)}):
+            tokens = sum(n for k, n in mix.cells.items() if k[at] == value)
+            own = sum(n for k, n in kept.items() if k[at] == value)
+            goal = float(wanted.get(value, 0.0))
+            rows.append((side, value, int(tokens), goal, own / total if total else 0.0, tokens >= goal * whole))
+    return spark.createDataFrame(rows, REPORT)
 
 
 def sides(docs: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
@@ -107,16 +159,14 @@ def sides(docs: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFr
 
 
 def fit(facts: DataFrame, targets: Mapping[str, Mapping[str, float]], budget: float = BUDGET) -> Mix:
-    """Tokens of all documents by cell, raked to the targets and calibrated to the budget.
+    """Tokens of all documents by cell, raked to the targets and the budget.
 
     The driver gets one row per cell, at most the product of the targets' sizes, as names that are not
     listed count as one.
     """
     names = ["_source", "_lang", "_topic"]
     rows = facts.groupBy(*names).agg(F.sum("_tokens").alias("n")).collect()
-    cells = {tuple(r[c] for c in names): int(r["n"]) for r in rows}
-    shares = rake(cells, targets)
-    return Mix(targets, shares, calibrate(cells, shares, budget))
+    return rake({tuple(r[c] for c in names): int(r["n"]) for r in rows}, targets, budget)
 
 
 def with_probability(facts: DataFrame, mix: Mix) -> DataFrame:

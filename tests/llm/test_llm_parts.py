@@ -17,14 +17,52 @@ def test_controls_are_escaped_reversibly(text):
     assert not any(c in inside for c in chat_format.CONTROLS)
 
 
+def _expected(mix, at):
+    sums = {}
+    for k, n in mix.cells.items():
+        sums[k[at]] = sums.get(k[at], 0.0) + n * mix.probability[k]
+    return sums
+
+
 def test_raking_meets_the_targets():
     cells = {(a, b): n for (a, b), n in zip([(x, y) for x in "ab" for y in "cd"], [10, 20, 30, 400], strict=True)}
-    targets = {"first": {"a": 0.7, "b": 0.3}, "second": {"c": 0.5, "d": 0.5}}
-    shares = source_mix.rake(cells, targets)
-    assert abs(shares["a", "c"] + shares["a", "d"] - 0.7) < 1e-4
-    assert abs(shares["a", "d"] + shares["b", "d"] - 0.5) < 1e-4
-    chance = source_mix.calibrate(cells, shares, 0.1)
-    assert abs(sum(chance[k] * n for k, n in cells.items()) - 46) < 1e-6
+    targets = {"first": {"a": 0.3, "b": 0.7}, "second": {"c": 0.5, "d": 0.5}}
+    mix = source_mix.rake(cells, targets, 0.1)
+    assert mix.gap < 1e-6 and sum(_expected(mix, 0).values()) == pytest.approx(46)
+    assert _expected(mix, 0) == pytest.approx({"a": 13.8, "b": 32.2}, rel=1e-5)
+    assert _expected(mix, 1) == pytest.approx({"c": 23, "d": 23}, rel=1e-5)
+
+
+def test_raking_goes_on_beside_whole_cells():
+    """Without the cap, raking wants more than 8 tokens of (a, c), which has 5."""
+    cells = {("a", "c"): 5, ("a", "d"): 95, ("b", "c"): 70, ("b", "d"): 30}
+    mix = source_mix.rake(cells, {"first": {"a": 0.5, "b": 0.5}, "second": {"c": 0.54, "d": 0.46}}, 0.5)
+    assert mix.probability["a", "c"] == 1.0 and mix.gap < 1e-6
+    assert _expected(mix, 0) == pytest.approx({"a": 50, "b": 50}, rel=1e-5)
+    assert _expected(mix, 1) == pytest.approx({"c": 54, "d": 46}, rel=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_raking_meets_any_targets_that_some_probabilities_meet(seed):
+    rng = np.random.default_rng(seed)
+    cells = {(a, b, c): int(rng.integers(0, 1000)) for a in range(4) for b in range(3) for c in range(2)}
+    chance = {k: rng.random() ** 3 for k in cells}
+    total = sum(cells[k] * chance[k] for k in cells)
+    targets = {side: {v: sum(cells[k] * chance[k] for k in cells if k[side] == v) / total for v in range(n)}
+               for side, n in enumerate((4, 3, 2))}
+    mix = source_mix.rake(cells, targets, total / sum(cells.values()))
+    assert mix.gap < 1e-4 and all(0 <= p <= 1 for p in mix.probability.values())
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    cells = {("a",): 10, ("b",): 90, ("c",): 0}
+    mix = source_mix.rake(cells, {"side": {"a": 0.6, "b": 0.3, "none": 0.1}}, 0.5)
+    assert mix.probability == pytest.approx({("a",): 1.0, ("b",): 40 / 90, ("c",): 1.0})
+    got = {r.value: (r.tokens, r.target, round(r.attained, 6), r.reachable) for r in source_mix.attained(spark, mix).collect()}
+    assert got == {"a": (10, 0.6, 0.2, False), "b": (90, 0.3, 0.8, True), "c": (0, 0.0, 0.0, True), "none": (0, 0.1, 0.0, False)}
+    apart = source_mix.rake({("a", "c"): 10, ("b", "d"): 10}, {"x": {"a": 0.9, "b": 0.1}, "y": {"c": 0.1, "d": 0.9}}, 0.5)
+    assert apart.gap > 0.1  # each side could be met, but not both
+    assert source_mix.rake({}, source_mix.TARGETS).probability == {}
 
 
 def test_code_words_differ():
