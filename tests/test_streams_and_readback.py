@@ -10,6 +10,7 @@ from alertloom.operators.serving import store_result, stored_page
 from alertloom.plans.answers import answer_alerts
 from alertloom.sources.alerts import read_analyses
 from alertloom.sources.discovery import sync_lines
+from alertloom.streaming import connect
 from alertloom.streaming.connect import start_connect
 from alertloom.streaming.ingest import alert_lines, append_new, start_dedup, start_ingest, start_intake
 from tests.test_match import CONN, S, T0, conn
@@ -172,3 +173,32 @@ def test_an_answer_counts_once_and_the_rest_is_kept(spark, tmp_path):
     assert records == {1: "False Positive", 2: "True Positive"}
     bad = spark.read.schema("alert_index long, response string, block string").json(str(tmp_path / "bad")).collect()
     assert sorted((r["alert_index"], r["block"]) for r in bad) == [(3, None), (4, '{"result": 1}'), (5, None)]
+
+
+def test_streams_that_come_late_or_run_again(spark, tmp_path):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    spark.createDataFrame([], "alert_id long, uid string, conn_row long").write.parquet(out)
+    spark.createDataFrame([], connect.BEGUN).write.parquet(f"{state}/begun")
+    batches = [
+        # Two keys of one alert: the longest connection of both; copies of an alert are one, no id is an id.
+        ([(1, T0, "c"), (1, T0, "d"), (1, T0, "c"), (None, T0, "d")],
+         [conn("a", "c", 1, 1, 1.0), conn("b", "d", 2, 2, 5.0), conn("b", "c", 9, 3, 0.0)]),
+        ([(2, T0 + 2000 * S, "c")], [conn("z", "c", 2000, 4)]),
+        ([(3, T0, "c"), (4, T0 + 1900 * S, "c")], [conn("late", "c", 3, 5, 99.0), conn("y", "c", 9000, 6)]),
+        ([(5, T0 + 9000 * S, "x")], [conn("x", "y", 9000, 7)]),
+    ]
+    for i, (a, c) in enumerate(batches):
+        both = connect.arrivals(spark.createDataFrame(a, "alert_id long, event_us long, community_id string"),
+                                spark.createDataFrame(c, CONN))
+        for _ in range(2):  # the rerun answers nothing twice
+            connect.connect_batch(both, i, out, state)
+    rows = sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str)
+    assert rows == [(1, "b", 3), (2, "z", 4), (4, "z", 4), (None, "b", 2)]
+
+
+def test_stream_state_grows_with_rows_not_with_pairs(spark):
+    asked = spark.range(400).selectExpr("id as alert_id", "'c' as key", f"{T0} + id * 1000 as at_us")
+    seen = spark.range(4000).selectExpr("'c' as key", f"{T0} + id * 1000 as ts_us", "cast(id % 7 as string) as uid",
+                                        "id as row_id", "cast(id % 1000 as double) as duration")
+    got = connect.connected(asked, seen)
+    assert {tuple(r)[1:] for r in got.collect()} == {("5", 3999 - (3999 - 5) % 7)}
