@@ -1,6 +1,7 @@
 """What an alert sees depends on the alert alone: hours, fallback, copies, and shared levels."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,15 @@ def test_a_level_has_one_collector(spark):
 def test_alert_rows_are_told_apart(spark):
     rows = with_row_key(spark.createDataFrame([alert(1, "c1")] * 5, ALERT))
     assert rows.select("alert_row").distinct().count() == 5
+
+
+def test_evidence_is_put_into_json_once_a_session(spark):
+    alerts = spark.createDataFrame(full([alert(1, "c1"), alert(2, "c1"), alert(3, "none", 0.0, ("9.9.9.9", "9", "9.9.9.9", "9", "tcp"))]), FULL)
+    docs = enrich(alerts, spark.createDataFrame([conn("u", "c1", 1, 1)], CONN), logs(spark, dns=[("u", 5)], ssl=[("u", 6)]))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "items" not in plan[:plan.index("Join")]
+    found = {r["alert_id"]: (list(json.loads(r["document"])), json.loads(r["document"]).get("evidence"), r["has_evidence"])
+             for r in docs.collect()}
+    assert [found[i][0] for i in (1, 2, 3)] == [["alert", "connection", "evidence"]] * 2 + [["alert"]]
+    assert found[1][1] == found[2][1] and {c for level in found[1][1].values() for c in level} == {"dns", "ssl"}
+    assert [found[i][2] for i in (1, 2, 3)] == [True, True, False]
