@@ -104,14 +104,20 @@ def document_levels(docs: DataFrame, collectors: Sequence[str] = ("http", "dns",
                     rules: Iterable[Rule] = K.SEVERITY_RULES, mode: str = PUBLISHED,
                     document: str = "document", id_col: str = "alert_id") -> DataFrame:
     """id and a level per collector, decided anew from the documents by the rules of all levels in order."""
+    rules = list(rules)
     found = blocks(docs, document, id_col).where(F.col("collector").isin(*collectors))
-    out = found.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("collector", "block"))).alias("held"))
-    rules, taken = list(rules), []
+    # Rules are asked where the block stands; only the numbers of those that hold are shuffled.
+    held = F.array_compact(F.array(*[
+        F.when((F.col("collector") == rule[1]) & rule_holds(F.col("block"), rule, mode), F.lit(n))
+        for n, rule in enumerate(rules)]).cast("array<int>"))
+    out = found.select(id_col, "collector", held.alias("rules")).groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("collector", "rules"))).alias("held"))
+    taken = []
     for level in K.SEVERITY_LEVELS:
         pick = F.when(F.lit(False), F.lit(None).cast("string"))
-        for rule in rules:
+        for n, rule in enumerate(rules):
             if rule[0] == level and rule[1] in collectors:
-                condition = rule_holds(F.col("held")[rule[1]], rule, mode)
+                condition = F.coalesce(F.array_contains(F.col("held")[rule[1]], n), F.lit(False))
                 for earlier in taken:
                     condition = condition & ~F.col(earlier).eqNullSafe(rule[1])
                 pick = pick.when(condition, rule[1])

@@ -202,3 +202,9 @@ def test_stream_state_grows_with_rows_not_with_pairs(spark):
                                         "id as row_id", "cast(id % 1000 as double) as duration")
     got = connect.connected(asked, seen)
     assert {tuple(r)[1:] for r in got.collect()} == {("5", 3999 - (3999 - 5) % 7)}
+
+
+def test_rules_are_asked_before_the_shuffle(spark):
+    plan = document_levels(docs_of(spark))._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan[plan.index("Aggregate"):].split("\n")[0]
+    assert "block" not in shuffled and "rules" in shuffled
