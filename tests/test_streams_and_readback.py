@@ -10,6 +10,7 @@ from alertloom.operators.serving import store_result, stored_page
 from alertloom.plans.answers import answer_alerts
 from alertloom.sources.alerts import read_analyses
 from alertloom.sources.discovery import sync_lines
+from alertloom.operators.verdicts import classify
 from alertloom.streaming import connect
 from alertloom.streaming.connect import start_connect
 from alertloom.streaming.ingest import alert_lines, append_new, start_dedup, start_ingest, start_intake
@@ -204,6 +205,17 @@ def test_stream_state_grows_with_rows_not_with_pairs(spark):
     assert {tuple(r)[1:] for r in got.collect()} == {("5", 3999 - (3999 - 5) % 7)}
 
 
+
+def test_batches_of_a_classifier_are_bounded_by_bytes(spark):
+    requests = spark.range(0, 60, 1, 1).selectExpr("id as alert_id", "repeat('x', 1000000) as request")
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.drop(columns="request").assign(response=str(len(batch)))
+
+    assert max(int(r["response"]) for r in classify(requests, sizes).collect()) <= 8
+
+
 def test_rules_are_asked_before_the_shuffle(spark):
     plan = document_levels(docs_of(spark))._jdf.queryExecution().optimizedPlan().toString()
     shuffled = plan[plan.index("Aggregate"):].split("\n")[0]
