@@ -46,11 +46,11 @@ def evidence_rows(docs: DataFrame, document: str = "document", id_col: str = "al
     kinds = blocks(docs, document, id_col).select(
         id_col, "level", "collector", F.explode(lists).alias("kind", "held"))
     context = F.schema_of_variant("held").startswith("OBJECT")  # lists may stand one step deeper
-    inner = kinds.where(context).select(
-        id_col, "level", "collector", F.explode(_members(F.col("held"), "map<string,variant>")).alias("kind", "held"))
-    every = kinds.where(~context).unionByName(inner)
-    entries = every.select(id_col, "level", "collector", "kind",
-                           F.posexplode(_members(F.col("held"), "array<variant>")).alias("place", "entry"))
+    inner = F.map_entries(_members(F.col("held"), "map<string,variant>"))
+    own = F.array(F.struct(F.col("kind").alias("key"), F.col("held").alias("value")))
+    every = kinds.select(id_col, "level", "collector", F.inline(F.when(context, inner).otherwise(own)))
+    entries = every.select(id_col, "level", "collector", F.col("key").alias("kind"),
+                           F.posexplode(_members(F.col("value"), "array<variant>")).alias("place", "entry"))
     return entries.select(id_col, "level", "collector", "kind", "place", item_text(F.col("entry")).alias("value"))
 
 

@@ -8,11 +8,14 @@ from alertloom import constants as K
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON document per line, one folder per alert day; rows need `timestamp`, `document`."""
+    """One JSON document per line, one folder per alert day; rows need `timestamp`, `document`.
+
+    Lines are gzipped, which readers undo by the file's name: documents of one session are much alike.
+    """
     day = F.coalesce(F.to_date(F.try_to_timestamp("timestamp")).cast("string"), F.lit("unknown"))
     (
         documents.select(day.alias("dt"), F.col("document").alias("value"))
-        .write.mode(mode).partitionBy("dt").text(path)
+        .write.mode(mode).partitionBy("dt").option("compression", "gzip").text(path)
     )
 
 
