@@ -6,22 +6,37 @@ import numpy as np
 
 
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by the `depth` codes (below 512) that begin there, by prefix doubling."""
+    """Places sorted by the `depth` codes (below 512) that begin there, by prefix doubling.
+
+    Code 0 ends a text: what stands after it is not compared. Only places whose rank is still shared
+    are sorted again.
+    """
     n = len(codes)
     padded = np.concatenate([codes, np.zeros(6, codes.dtype)]).astype(np.int64)
     key = np.zeros(n, np.int64)
     for i in range(7):
         key = key << 9 | padded[i:n + i]
     have = 7
+    order = np.argsort(key)
+    rows = np.arange(n)
+    laid = key[order]
+    rank = np.empty(n, np.int64)
+    stops = np.append(np.flatnonzero(codes == 0), n)
+    room = np.repeat(stops, np.diff(stops, prepend=-1))[:n] - np.arange(n)
     while True:
-        order = np.argsort(key)
+        place = order[rows]
+        begins = np.flatnonzero(np.diff(laid, prepend=laid[:1] - 1))
+        size = np.diff(np.append(begins, len(rows)))
+        rank[place] = np.repeat(rows[begins], size)  # the first row of those that are alike
         if have >= depth:
             return order
-        laid = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(laid, prepend=laid[:1] - 1) > 0)
-        key = rank << 32
-        key[:-have] |= rank[have:]
+        more = np.repeat(size > 1, size) & (room[place] >= have)
+        rows, place = rows[more], place[more]
+        if not len(rows):
+            return order
+        laid = rank[place] << 32 | rank[place + have]
+        sort = np.argsort(laid)
+        order[rows], laid = place[sort], laid[sort]
         have *= 2
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom.llm.bwt_repeats import repeated_starts
 from alertloom.llm.common import bound_batches, key_filter, mark_keys
-from alertloom.llm.window_anchors import LENGTH, anchored
+from alertloom.llm.window_anchors import LENGTH, anchored, context_slices, placed_anchors
 from alertloom.session import stage
 
 #: Different strings of one anchor that a transform takes together; larger groups go by window digests.
@@ -42,7 +43,7 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
 
 
 def anchored_strings(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """anchor, string, key, n: different strings around repeated anchors and how often they stand.
+    """anchor, string, key, place (of the anchor in it), n: different strings around repeated anchors and how often they stand.
 
     A string holds all windows of one anchor, so equal windows stand in strings of one anchor.
     Equal strings, as copies of documents have them, are counted and sent once per batch.
@@ -53,21 +54,23 @@ def anchored_strings(docs: DataFrame, common: DataFrame) -> DataFrame:
             held: dict[bytes, list] = {}
             for text in batch.column("text").to_pylist():
                 data = text.encode()
-                for anchor, a, b in zip(*(x.tolist() for x in anchored(data)), strict=True):
+                for anchor, at, a, b in zip(*(x.tolist() for x in placed_anchors(data)), strict=True):
                     string = data[a:b + LENGTH]
-                    entry = held.setdefault(_digest(string), [anchor, string, 0])
+                    entry = held.setdefault(_digest(string), [anchor, string, 0, at - a])
                     entry[2] += 1
             keys, rows = list(held), list(held.values())
             for i in range(0, len(rows), 20_000):
                 part = rows[i:i + 20_000]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary()),
-                     pa.array(keys[i:i + 20_000], pa.binary()), pa.array([r[2] for r in part], pa.int64())],
-                    ["anchor", "string", "key", "n"])
+                     pa.array(keys[i:i + 20_000], pa.binary()), pa.array([r[2] for r in part], pa.int64()),
+                     pa.array([r[3] for r in part], pa.int32())],
+                    ["anchor", "string", "key", "n", "place"])
 
-    found = _text(docs).mapInArrow(run, "anchor long, string binary, key binary, n long")
+    found = _text(docs).mapInArrow(run, "anchor long, string binary, key binary, n long, place int")
     marked = mark_keys(found, key_filter(common, ["anchor"]), ["anchor"], "_common").filter("_common")
-    grouped = marked.groupBy("anchor", "key").agg(F.sum("n").alias("n"), F.first("string").alias("string"))
+    grouped = marked.groupBy("anchor", "key").agg(
+        F.sum("n").alias("n"), F.first("string").alias("string"), F.first("place").alias("place"))
     return stage(grouped, "strings")
 
 
@@ -80,37 +83,70 @@ def _starts(flags: np.ndarray) -> tuple[list[int], list[int]]:
 MARKS = "key binary, first array<int>, last array<int>"
 
 
+def may_repeat(strings: list[bytes], places: list[int]) -> list[bool]:
+    """For each string of one anchor, whether another one has a slice in common with it.
+
+    If none has, no window of the string stands in another; and none stands in it twice, since
+    it would have its anchor at two places.
+    """
+    slices = [[(k, xxhash.xxh3_64_intdigest(x)) for k, x in context_slices(*s)] for s in zip(strings, places, strict=True)]
+    count = Counter(x for own in slices for x in own)
+    return [any(count[x] > 1 for x in own) for own in slices]
+
+
 def marks_by_transform(strings: DataFrame) -> DataFrame:
     """Repeated windows of the strings of groups of bounded size, from one transform per block.
 
-    Rows come sorted by anchor; whole groups are gathered until a block is full.
+    Rows come sorted by anchor. Of each group, the strings that may share a window with another one are
+    gathered, until a block is full. The others need no transform: all their windows are
+    repeated if the string stands at two places, else none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, bytes, int]] = []
+        group: list[tuple[bytes, bytes, int]] = []
+        places: list[int] = []
+        alone: list[tuple[bytes, int]] = []
         size, last = 0, None
 
         def marked() -> pa.RecordBatch:
-            flags = repeated_starts([r[1] for r in rows], LENGTH)
+            flags = repeated_starts([r[1] for r in rows], LENGTH) if rows else []
             spans = [_starts(np.ones_like(f) if r[2] > 1 else f) for f, r in zip(flags, rows, strict=True)]
             kept = [(r[0], *s) for r, s in zip(rows, spans, strict=True) if s[0]]
+            kept += [(key, [0], [end]) for key, end in alone]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.list_(pa.int32())),
                  pa.array([x[2] for x in kept], pa.list_(pa.int32()))], ["key", "first", "last"])
 
+        def close_group() -> int:
+            near = may_repeat([r[1] for r in group], places) if len(group) > 1 else [False] * len(group)
+            rows.extend(r for r, is_near in zip(group, near, strict=True) if is_near)
+            alone.extend((r[0], len(r[1]) - LENGTH) for r, is_near in zip(group, near, strict=True)
+                         if not is_near and r[2] > 1)
+            added = sum(len(r[1]) for r, is_near in zip(group, near, strict=True) if is_near)
+            group.clear()
+            places.clear()
+            return added
+
         for batch in batches:
-            for anchor, string, key, n in zip(*(batch.column(c).to_pylist() for c in
-                                                ("anchor", "string", "key", "n")), strict=True):
-                if rows and anchor != last and size >= BLOCK:
-                    yield marked()
-                    rows, size = [], 0
-                rows.append((key, string, n))
-                size, last = size + len(string), anchor
-        if rows:
+            for anchor, string, key, n, place in zip(*(batch.column(c).to_pylist() for c in (
+                    "anchor", "string", "key", "n", "place")), strict=True):
+                if anchor != last:
+                    size += close_group()
+                    if size >= BLOCK or len(alone) >= 20_000:
+                        yield marked()
+                        rows.clear()
+                        alone.clear()
+                        size = 0
+                group.append((key, string, n))
+                places.append(place)
+                last = anchor
+        close_group()
+        if rows or alone:
             yield marked()
 
     dealt = strings.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "string", "key", "n").mapInArrow(run, MARKS)
+    return dealt.select("anchor", "string", "key", "n", "place").mapInArrow(run, MARKS)
 
 
 def marks_by_digest(strings: DataFrame) -> DataFrame:

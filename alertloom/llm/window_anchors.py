@@ -8,6 +8,8 @@ import numpy as np
 LENGTH, GRAM = 400, 32
 #: Grams in a window of LENGTH bytes.
 SPAN = LENGTH - GRAM + 1
+#: Starts of windows that are taken together when strings are compared by slices.
+SHIFT = 47
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -34,15 +36,32 @@ def running_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if have == width else np.minimum(x[:len(x) - (width - have)], x[width - have:])
 
 
+def _lower_sides(at: list[int], value: list[int], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest one to the left that is not higher, or -1, and to the right that is lower, or `end`."""
+    left, right, held = [], [end] * len(at), []
+    for i, v in enumerate(value):
+        while held and value[held[-1]] > v:
+            right[held.pop()] = at[i]
+        left.append(at[held[-1]] if held else -1)
+        held.append(i)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def anchored(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text: their hashes, and the first and last start of the windows they stand for.
+    """Anchors of a text: their hashes, and the first and last start of the windows they stand for."""
+    value, _, first, last = placed_anchors(text)
+    return value, first, last
+
+
+def placed_anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the places of the anchors: hash, place, first start, last start.
 
     The anchor of a window of LENGTH bytes is the leftmost of its grams with the least hash. So every
     window has one anchor, and equal windows have it at the same place within them.
     """
     none = np.zeros(0, np.int64)
     if len(text) < LENGTH:
-        return none, none, none
+        return none, none, none, none
     h = gram_hashes(np.frombuffer(text, np.uint8))
     least = running_min(h, SPAN)
     edge = np.zeros(SPAN - 1, np.uint64)
@@ -50,20 +69,22 @@ def anchored(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(h == most)
     value = h[at]
     # Windows end before an anchor of lower hash, and begin after one to the left that is not higher.
-    left, right = np.full(len(at), -1), np.full(len(at), len(h))
-    for found, step, stops in ((left, -1, np.less_equal), (right, 1, np.less)):
-        open_, distance = np.arange(len(at)), 0
-        while len(open_):
-            distance += step
-            other = open_ + distance
-            inside = (other >= 0) & (other < len(at))
-            open_, other = open_[inside], other[inside]
-            near = np.abs(at[other] - at[open_]) < SPAN
-            open_, other = open_[near], other[near]
-            hit = stops(value[other], value[open_])
-            found[open_[hit]] = at[other[hit]]
-            open_ = open_[~hit]
+    left, right = _lower_sides(at.tolist(), value.tolist(), len(h))
     first = np.maximum(left + 1, np.maximum(at - SPAN + 1, 0))
     last = np.minimum(np.minimum(at, right - SPAN), len(text) - LENGTH)
     used = first <= last
-    return value[used].view(np.int64), first[used], last[used]
+    return value[used].view(np.int64), at[used], first[used], last[used]
+
+
+def context_slices(string: bytes, place: int) -> list[tuple[int, bytes]]:
+    """What the windows of a string share, by how far left of its anchor, which is at `place`, they begin.
+
+    Windows that begin within one step of SHIFT bytes all hold the same LENGTH - SHIFT + 1 bytes. So two
+    strings of one anchor that hold an equal window have an equal slice under the same number.
+    """
+    found = []
+    for k in range(place // SHIFT + 1):
+        begin, end = place - k * SHIFT, place - k * SHIFT + LENGTH - SHIFT + 1
+        if end <= len(string):
+            found.append((k, string[begin:end]))
+    return found

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from alertloom.llm import bwt_repeats, chat_format, exact_dedup, minhash_dedup, source_mix
+from alertloom.llm import bwt_repeats, chat_format, exact_dedup, minhash_dedup, source_mix, suffix_dedup
 from alertloom.llm.language_id import code_words
 from alertloom.llm.sentence_pieces import MODEL, decode, encode, load
 from alertloom.llm.window_anchors import LENGTH, anchored
@@ -90,6 +90,22 @@ def test_every_window_has_one_anchor():
         assert held == list(range(len(text) - LENGTH + 1))
 
 
+def test_only_strings_with_a_partner_are_transformed():
+    rng = np.random.default_rng(6)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    left, core, right = noise(368), noise(32), noise(368)
+    shared = [(0, 368), (10, 358), (184, 184), (200, 168), (368, 0), (0, 0), (90, 90), (184, 130), (130, 184)]
+    strings = [noise(368 - a) + left[368 - a:] + core + right[:b] + noise(368 - b) for a, b in shared]
+    windows = [{s[i:i + LENGTH] for i in range(len(s) - LENGTH + 1)} for s in strings]
+    near = suffix_dedup.may_repeat(strings, [368] * len(strings))
+    for k, own in enumerate(windows):
+        assert near[k] or not any(own & other for i, other in enumerate(windows) if i != k)
+    assert not any(near[5:]) and suffix_dedup.may_repeat(strings[:1], [368]) == [False]
+    flags = bwt_repeats.repeated_starts([strings[0], strings[1] + b"x", core + right, left + core], LENGTH)
+    near = suffix_dedup.may_repeat([strings[0], core + right, left + core], [368, 0, 368])
+    assert near == [True, True, False] and flags[2].all() and not flags[3].any()
+
+
 def test_pieces_round_trip():
     import public_tokenizers
 
