@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import public_tokenizers
@@ -234,8 +235,9 @@ def encode(texts: list[str | None], model: PieceModel) -> list[np.ndarray]:
             held.append(i)
             size += len(text)
         if held and (size >= SLICE or i == len(texts) - 1):
-            number: defaultdict[str, int] = defaultdict()
-            number.default_factory = number.__len__  # a word that is not known gets the next number
+            # A word that is not known gets the next number. Nothing here refers to the dictionary itself,
+            # so its words go with the slice and do not wait for the cycle collector.
+            number: defaultdict[str, int] = defaultdict(count().__next__)
             of = [np.fromiter(map(number.__getitem__, _WORD.findall((BLANK + texts[k]).replace(" ", BLANK))), np.int32)
                   for k in held]
             ids, counts = encode_words(list(number), model)

@@ -1,5 +1,8 @@
 """Parts of the operators: round trips, raking, code words, and the stages of the pipeline."""
 
+import gc
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
@@ -153,3 +156,17 @@ def test_only_suspects_are_shuffled(spark, tables):
     assert "LeftAnti" not in plan and "LeftSemi" not in plan
     hashing = [line for line in plan.splitlines() if "sha2(" in line]
     assert len(hashing) == 1 and plan.startswith("Union")  # the digest is computed on one branch alone
+
+
+def test_words_of_a_slice_are_not_held():
+    import public_tokenizers
+
+    model = load(public_tokenizers.path(MODEL))
+    gc.collect()
+    gc.disable()
+    try:
+        encode(["oncewritten word"], model)
+        held = [x for x in gc.get_objects() if isinstance(x, defaultdict) and "▁oncewritten" in x]
+    finally:
+        gc.enable()
+    assert not held
