@@ -26,6 +26,8 @@ SHARED = 18
 ESTIMATE = 0.42
 #: How often the bound on what a set can share is tightened; each round is exact.
 BOUND_ROUNDS = 3
+#: A set's difference from a leader is taken along up to this size; pairs of sets without one keep the other bounds.
+APART = 512
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -136,6 +138,21 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
     return marked.select("rep", "value").join(common, "value").groupBy("rep").agg(F.count("*").alias("s"))
 
 
+def differences(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """rep, pivot, pivot_size, missing, apart: what tells a set from a leader it was compared with.
+
+    `missing` counts the leader's shingles that the set lacks; `apart` holds these and the set's own ones that
+    the leader lacks. Two sets share as many shingles as the leader has, less what each misses, plus what
+    they have in common in `apart`, so their intersection is known without looking at the full sets.
+    """
+    named = rows.select("rep", "pivot").distinct()
+    both = named.join(full.toDF("rep", "_own"), "rep").join(full.toDF("pivot", "_lead"), "pivot")
+    lacks, adds = F.array_except("_lead", "_own"), F.array_except("_own", "_lead")
+    found = both.select("rep", "pivot", F.size("_lead").alias("pivot_size"), F.size(lacks).alias("missing"),
+                        F.concat(lacks, adds).alias("apart"))
+    return stage(found.filter(F.size("apart") <= APART), "differences")
+
+
 def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders: DataFrame,
                     met: DataFrame) -> DataFrame:
     """a, b: sets that share a list, may still be linked, and are in different components; once each.
@@ -143,7 +160,8 @@ def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders
     A link needs an intersection of `SIMILAR / (100 + SIMILAR)` of both sizes together, and a set
     cannot share more than the shingles that it has in common with any other listed set. That bound
     is exact and linear to compute. It leaves out the sets of a large group that were changed
-    so much that they are linked with nothing, before anything is paired.
+    so much that they are linked with nothing, before anything is paired. Of the others, a pair is
+    formed only if their `differences` from the list's leader, where known, say that they share enough.
     """
     named = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "value", "rep", "n", F.coalesce("component", "rep").alias("component"))
@@ -159,20 +177,26 @@ def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders
     left = left.join(pivots, "value").withColumns(
         {"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(met, ["a", "b"], "left")
     left = left.withColumn("i", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("common")))
+    told = differences(left.filter("rep <> pivot AND common IS NOT NULL"), full)
+    left = left.join(told, ["rep", "pivot"], "left")
     # The values of a set's open lists tell in which list a pair meets first; at most SKETCH of them.
     left = stage(left.withColumn("own", F.sort_array(F.collect_list("value").over(
         Window.partitionBy("rep")))), "open-postings")
     side = lambda name: left.select(
-        "value", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "s", "i", "component", "own")))
+        "value", *(F.col(c).alias(f"{c}_{name}") for c in (
+            "rep", "n", "s", "i", "component", "own", "pivot_size", "missing", "apart")))
     need = (F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR)
     over_pivot = F.least("i_a", "i_b") + F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))
     unknown = F.col("i_a").isNull() | F.col("i_b").isNull()
     enough = (F.least("s_a", "s_b") >= need) & (unknown | (over_pivot >= need))
+    shared_all = F.col("pivot_size_a") - F.col("missing_a") - F.col("missing_b") + F.size(F.array_intersect("apart_a", "apart_b"))
+    untold = F.col("apart_a").isNull() | F.col("apart_b").isNull()
     meets = (
         (F.col("l.value") == F.col("r.value")) & (F.col("rep_a") < F.col("rep_b"))
         & (F.col("component_a") != F.col("component_b"))
         & enough & _sizes_fit(F.col("n_a"), F.col("n_b"))
         & (F.array_min(F.array_intersect("own_a", "own_b")) == F.col("l.value"))
+        & (untold | (shared_all >= need))
     )
     pairs = side("a").alias("l").join(side("b").alias("r"), meets)
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
