@@ -24,8 +24,6 @@ SKETCH = 48
 SHARED = 18
 #: Pairs whose estimated similarity is lower are not verified; 0.75 is 5 standard errors above.
 ESTIMATE = 0.42
-#: How often the bound on what a set can share is tightened; each round is exact.
-BOUND_ROUNDS = 3
 #: A set's difference from a leader is taken along up to this size; pairs of sets without one keep the other bounds.
 APART = 512
 
@@ -139,20 +137,75 @@ def shared_sizes(sets: DataFrame) -> DataFrame:
 
 
 def differences(rows: DataFrame, full: DataFrame) -> DataFrame:
-    """rep, pivot, pivot_size, missing, apart: what tells a set from a leader it was compared with.
+    """rep, pivot, n, component, pivot_size, missing, apart: what tells a set from a leader it was compared with.
 
     `missing` counts the leader's shingles that the set lacks; `apart` holds these and the set's own ones that
     the leader lacks. Two sets share as many shingles as the leader has, less what each misses, plus what
     they have in common in `apart`, so their intersection is known without looking at the full sets.
     """
-    named = rows.select("rep", "pivot").distinct()
+    named = rows.select("rep", "pivot", "n", "component").distinct()
     both = named.join(full.toDF("rep", "_own"), "rep").join(full.toDF("pivot", "_lead"), "pivot")
     lacks, adds = F.array_except("_lead", "_own"), F.array_except("_own", "_lead")
-    found = both.select("rep", "pivot", F.size("_lead").alias("pivot_size"), F.size(lacks).alias("missing"),
-                        F.concat(lacks, adds).alias("apart"))
+    found = both.select("rep", "pivot", "n", "component", F.size("_lead").alias("pivot_size"),
+                        F.size(lacks).alias("missing"), F.concat(lacks, adds).alias("apart"))
     return stage(found.filter(F.size("apart") <= APART), "differences")
 
 
+def difference_prefixes(told: DataFrame) -> DataFrame:
+    """The rarest elements of each set's difference: pivot, element, rep, n, component, d, near, rest, need.
+
+    Sets are linked if (100 + SIMILAR) times their distance, the size of their symmetric difference, is at
+    most (100 - SIMILAR) times both sizes together. The distance is both distances `d` from the leader
+    less twice what the differences share. So if a set is not linked with the leader (not `near`), any partner
+    shares at least `need` elements of its own difference with it, by the triangle inequality at least one;
+    and of its rarest ones, all but the last `need - 1`, one is shared. `rest` counts the elements that come
+    after this one. With a near partner, a set that is not near may share fewer, so more of its elements are listed.
+    """
+    far, close = 100 + SIMILAR, 100 - SIMILAR
+    sized = told.select("rep", "pivot", "n", "component", "pivot_size", F.size("apart").alias("d"), "apart")
+    sized = sized.withColumn("near", F.col("d") * far <= (F.col("n") + F.col("pivot_size")) * close)
+    rows = sized.withColumn("element", F.explode("apart")).drop("apart")
+    held = rows.groupBy("pivot", "element").agg(
+        F.count("*").alias("df"), F.count_if(~F.col("near")).alias("_far")).filter("df > 1 AND _far > 0")
+    own = Window.partitionBy("rep", "pivot")
+    ranked = rows.join(held, ["pivot", "element"]).withColumn(
+        "rest", F.count("*").over(own) - F.row_number().over(own.orderBy("df", "element")))
+    need = F.floor((F.col("d") * far + (F.col("pivot_size") - F.col("n")) * close) / (2 * far)) + 1
+    of_near = F.ceil((F.col("d") * far - (F.col("pivot_size") + F.col("n")) * close) / (far + close))
+    within = F.col("rest") + 1 >= F.when(F.col("near"), need).otherwise(of_near)
+    return stage(ranked.filter(within).select(
+        "pivot", "element", "rep", "n", "component", "d", "near", "rest", need.alias("need")), "prefixes")
+
+
+def told_links(told: DataFrame) -> DataFrame:
+    """a, b: linked sets of different components whose differences from one leader are known.
+
+    Sets that are both linked with the leader are in one component already. All others share one of the
+    rarest elements of their differences, and that element's place bounds how many more they share; the
+    pairs that are left are decided by their whole differences.
+    """
+    far, close = 100 + SIMILAR, 100 - SIMILAR
+    rows = difference_prefixes(told)
+    side = lambda name: rows.select(
+        "pivot", "element", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "d", "near", "rest", "need")))
+    strong = lambda name: F.col(f"rest_{name}") + 1 >= F.col(f"need_{name}")
+    lacking = (F.col("d_a") + F.col("d_b")) * far - (F.col("n_a") + F.col("n_b")) * close
+    meets = (
+        (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.element") == F.col("r.element"))
+        & (F.col("near_b") | ((F.col("rep_a") < F.col("rep_b")) & strong("a"))) & strong("b")
+        & (F.col("component_a") != F.col("component_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"))
+        & (lacking <= (F.least("rest_a", "rest_b") + 1) * 2 * far)
+    )
+    met = side("a").filter("NOT near_a").alias("l").join(side("b").alias("r"), meets)
+    pairs = stage(met.select(F.col("l.pivot").alias("pivot"), "rep_a", "rep_b", "n_a", "n_b").distinct(), "told-pairs")
+    known = lambda name: told.select(
+        "pivot", "pivot_size", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "missing", "apart")))
+    both = pairs.join(known("a"), ["pivot", "rep_a"]).join(known("b").drop("pivot_size"), ["pivot", "rep_b"])
+    shared = F.col("pivot_size") - F.col("missing_a") - F.col("missing_b") + F.size(F.array_intersect("apart_a", "apart_b"))
+    linked = shared * far >= (F.col("n_a") + F.col("n_b")) * SIMILAR
+    return both.filter(linked).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
 def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders: DataFrame,
                     met: DataFrame) -> DataFrame:
     """a, b: sets that share a list, may still be linked, and are in different components; once each.
@@ -160,46 +213,44 @@ def remaining_pairs(lists: DataFrame, parts: DataFrame, full: DataFrame, leaders
     A link needs an intersection of `SIMILAR / (100 + SIMILAR)` of both sizes together, and a set
     cannot share more than the shingles that it has in common with any other listed set. That bound
     is exact and linear to compute. It leaves out the sets of a large group that were changed
-    so much that they are linked with nothing, before anything is paired. Of the others, a pair is
-    formed only if their `differences` from the list's leader, where known, say that they share enough.
+    so much that they are linked with nothing, before anything is paired. Of the others, those whose `differences`
+    from a list's leader are known are paired by these; only sets without one meet whole lists.
     """
     named = lists.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         "value", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = stage(open_lists(stage(named, "named-postings"), F.col("n")), "open-postings")
     reach = F.floor(F.col("s") * (100 + SIMILAR) / SIMILAR) - F.col("n")
-    left = mixed
-    for _ in range(BOUND_ROUNDS):  # sets that are left out take shingles from the others' counts
-        names = stage(left.select("rep").distinct(), "open-sets")
-        shared = stage(shared_sizes(full.join(names, "rep", "left_semi")), "shared-sizes")
-        left = left.drop("s").join(shared, "rep").filter(F.col("s") * 100 >= F.col("n") * SIMILAR)
-        left = stage(open_lists(stage(left, "open-postings"), reach), "open-postings")
+    names = stage(mixed.select("rep").distinct(), "open-sets")
+    shared = shared_sizes(full.join(names, "rep", "left_semi"))
+    left = mixed.join(shared, "rep").filter(F.col("s") * 100 >= F.col("n") * SIMILAR)
+    left = open_lists(stage(left, "open-postings"), reach)
     pivots = leaders.filter("central").select("value", "pivot")
     left = left.join(pivots, "value").withColumns(
         {"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(met, ["a", "b"], "left")
     left = left.withColumn("i", F.when(F.col("rep") == F.col("pivot"), F.col("n")).otherwise(F.col("common")))
-    told = differences(left.filter("rep <> pivot AND common IS NOT NULL"), full)
-    left = left.join(told, ["rep", "pivot"], "left")
     # The values of a set's open lists tell in which list a pair meets first; at most SKETCH of them.
     left = stage(left.withColumn("own", F.sort_array(F.collect_list("value").over(
-        Window.partitionBy("rep")))), "open-postings")
-    side = lambda name: left.select(
-        "value", *(F.col(c).alias(f"{c}_{name}") for c in (
-            "rep", "n", "s", "i", "component", "own", "pivot_size", "missing", "apart")))
+        Window.partitionBy("rep")))).filter("rep <> pivot"), "open-postings")  # leaders have met their lists
+    told = differences(left.filter("common IS NOT NULL"), full)
+    marked = left.join(told.select("rep", "pivot", F.lit(True).alias("told")), ["rep", "pivot"], "left").withColumn(
+        "told", F.col("told").isNotNull())
+    untold = stage(marked.filter("NOT told"), "untold-postings")
+    beside = marked.join(untold.select("value").distinct(), "value", "left_semi")
+    side = lambda rows, name: rows.select(
+        "value", *(F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "s", "i", "component", "own", "told")))
     need = (F.col("n_a") + F.col("n_b")) * SIMILAR / (100 + SIMILAR)
     over_pivot = F.least("i_a", "i_b") + F.least(F.col("s_a") - F.col("i_a"), F.col("s_b") - F.col("i_b"))
     unknown = F.col("i_a").isNull() | F.col("i_b").isNull()
     enough = (F.least("s_a", "s_b") >= need) & (unknown | (over_pivot >= need))
-    shared_all = F.col("pivot_size_a") - F.col("missing_a") - F.col("missing_b") + F.size(F.array_intersect("apart_a", "apart_b"))
-    untold = F.col("apart_a").isNull() | F.col("apart_b").isNull()
     meets = (
-        (F.col("l.value") == F.col("r.value")) & (F.col("rep_a") < F.col("rep_b"))
+        (F.col("l.value") == F.col("r.value")) & (F.col("told_b") | (F.col("rep_a") < F.col("rep_b")))
         & (F.col("component_a") != F.col("component_b"))
         & enough & _sizes_fit(F.col("n_a"), F.col("n_b"))
         & (F.array_min(F.array_intersect("own_a", "own_b")) == F.col("l.value"))
-        & (untold | (shared_all >= need))
     )
-    pairs = side("a").alias("l").join(side("b").alias("r"), meets)
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    pairs = side(untold, "a").alias("l").join(side(beside, "b").alias("r"), meets)
+    pairs = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    return pairs.union(told_links(told)).distinct()
 
 
 def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:

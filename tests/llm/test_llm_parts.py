@@ -206,3 +206,50 @@ def test_near_copies_of_a_missing_text_meet_only_if_linked(spark, monkeypatch):
     assert [got[k] for k in range(150)] == expected and 1 < len(set(expected)) < 150
     pairs = {(r.a, r.b) for r in formed[0].collect()}
     assert len(pairs - linked) <= 50, (len(pairs), len(pairs & linked))
+
+
+def _copies_of_a_missing_text(rng, n, at_most):
+    texts = []
+    for k in range(n):
+        words = [f"w{i}" for i in range(80)]
+        for at in rng.sample(range(80), rng.randint(1, at_most)):
+            words[at] = rng.choice((f"new{k}-{at}", "often"))
+        texts.append(" ".join(words))
+    return texts
+
+
+def _linked(sets, limit=75):
+    return {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b])}
+
+
+def test_sets_told_from_a_leader_meet_by_rare_differences(spark):
+    texts = [" ".join([f"w{i}" for i in range(80)] + ["only here"]), *_copies_of_a_missing_text(random.Random(9), 200, 6)]
+    sets = {k: set(minhash_dedup.shingles(t).tolist()) for k, t in enumerate(texts)}
+    linked = _linked(sets)
+    part = {k: 0 if (0, k) in linked else k for k in sets}
+    rows = [(k, 0, len(sets[k]), part[k]) for k in sets if k]
+    full = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "rep long, shingles array<long>")
+    told = minhash_dedup.differences(spark.createDataFrame(rows, "rep long, pivot long, n int, component long"), full)
+    got = [(r.a, r.b) for r in minhash_dedup.told_links(told).collect()]
+    expected = {(a, b) for a, b in linked if a and part[a] != part[b]}
+    assert set(got) == expected and len(got) == len(expected) > 9
+    held = defaultdict(lambda: [0, 0])
+    for r in minhash_dedup.difference_prefixes(told).collect():
+        held[r.element][r.near] += 1
+    compared = sum(far * (far + near) for far, near in held.values())
+    far = sum(part[k] > 0 for k in sets)
+    assert 50 < far < 150 and compared < 4 * far * len(rows), (compared, far)  # lists alone compare each pair up to 31 times
+
+
+@pytest.mark.parametrize("apart", [0, 30])
+def test_sets_without_a_known_difference_meet_too(spark, monkeypatch, apart):
+    monkeypatch.setattr(minhash_dedup, "APART", apart)
+    texts = _copies_of_a_missing_text(random.Random(10), 90, 4)
+    sets = {k: set(minhash_dedup.shingles(t).tolist()) for k, t in enumerate(texts)}
+    expected = dict.fromkeys(sets, 0) | {k: k for k in sets}
+    for _ in sets:
+        for a, b in _linked(sets):
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(docs).collect()}
+    assert got == expected and 1 < len(set(expected.values())) < 90
