@@ -12,17 +12,19 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     are sorted again.
     """
     n = len(codes)
-    padded = np.concatenate([codes, np.zeros(6, codes.dtype)]).astype(np.int64)
+    stops = np.append(np.flatnonzero(codes == 0), n)
+    room = (np.repeat(stops, np.diff(stops, prepend=-1))[:n] - np.arange(n)).astype(np.int32)
+    padded = np.concatenate([codes, np.zeros(6, codes.dtype)])
     key = np.zeros(n, np.int64)
     for i in range(7):
-        key = key << 9 | padded[i:n + i]
+        key <<= 9
+        key |= padded[i:n + i]
     have = 7
     order = np.argsort(key)
-    rows = np.arange(n)
     laid = key[order]
+    del key, padded  # what is not needed any more goes at once: these arrays decide a task's memory
+    rows = np.arange(n)
     rank = np.empty(n, np.int64)
-    stops = np.append(np.flatnonzero(codes == 0), n)
-    room = np.repeat(stops, np.diff(stops, prepend=-1))[:n] - np.arange(n)
     while True:
         place = order[rows]
         begins = np.flatnonzero(np.diff(laid, prepend=laid[:1] - 1))
@@ -30,7 +32,9 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         rank[place] = np.repeat(rows[begins], size)  # the first row of those that are alike
         if have >= depth:
             return order
-        more = np.repeat(size > 1, size) & (room[place] >= have)
+        more = np.repeat(size > 1, size)
+        del laid, begins, size
+        more &= room[place] >= have
         rows, place = rows[more], place[more]
         if not len(rows):
             return order

@@ -253,3 +253,20 @@ def test_sets_without_a_known_difference_meet_too(spark, monkeypatch, apart):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(docs).collect()}
     assert got == expected and 1 < len(set(expected.values())) < 90
+
+
+def test_no_task_of_the_removal_holds_two_python_processes(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+
+    def processes(node):
+        below = [processes(node.children().apply(i)) for i in range(node.children().size())]
+        assert all(n <= 1 for n in below), plan.toString()
+        own = max(below, default=0)
+        return 0 if "SortMergeJoin" in node.nodeName() else own + ("MapInArrow" in node.nodeName())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.remove_repeats(docs)._jdf.queryExecution().sparkPlan()  # a sort-merge join begins a stage
+        assert processes(plan) <= 1 and plan.toString().count("MapInArrow") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
