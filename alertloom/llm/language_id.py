@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from alertloom.llm.common import crc_part, hashed_sample
+from alertloom.llm.common import crc_part, hashed_sample, trimmed
 from alertloom.session import stage
 
 #: Hash buckets of the n-grams of two and three bytes.
@@ -21,7 +21,8 @@ PER_LANGUAGE, IN_ALL = 1500, 12_000
 #: A prediction is flagged if the runner-up comes within this share of the score.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
-SLICE = 1 << 18
+#: Characters of documents whose n-grams are weighed together; a longer text is taken alone.
+SLICE = 1 << 16
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -142,7 +143,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
                 [pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(held[at])],
                 ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long")
+    counts = rows.mapInArrow(trimmed(count), "lang string, bucket int, n long")
     table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique())
     code = code_words(len(languages))
@@ -176,7 +177,7 @@ def _sample_margins(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int32()), pa.array(list(margins))], ["own", "margins"])
 
-    found = rows.mapInArrow(measure, "own int, margins array<double>").toPandas()
+    found = rows.mapInArrow(trimmed(measure), "own int, margins array<double>").toPandas()
     return np.stack(found["margins"].to_list()), found["own"].to_numpy()
 
 
@@ -199,7 +200,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(unsure)],
                 [*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from alertloom.llm.common import key_filter, mark_keys, without_rows
+from alertloom.llm.common import key_filter, mark_keys, trimmed, without_rows
 from alertloom.llm.components import components
 from alertloom.session import stage
 
@@ -60,7 +60,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "digest", "n_shingles", "key", "sketch"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", nameless_digest().alias("digest"))
-    return narrow.mapInArrow(run, "doc_id long, digest string, n_shingles long, key binary, sketch array<long>")
+    return narrow.mapInArrow(trimmed(run), "doc_id long, digest string, n_shingles long, key binary, sketch array<long>")
 
 
 def nameless_digest() -> Column:
@@ -275,7 +275,7 @@ def full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    found = marked.mapInArrow(run, "rep long, shingles array<long>")
+    found = marked.mapInArrow(trimmed(run), "rep long, shingles array<long>")
     return stage(found.join(reps, "rep", "left_semi"), "full-sets")
 
 

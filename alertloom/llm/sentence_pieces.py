@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from alertloom.llm.bpe_core import Merger, PairTable
-from alertloom.llm.common import bound_batches
+from alertloom.llm.common import bound_batches, trimmed
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of documents taken together; their distinct words are indexed as one text.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Known pairs of neighbours before the table is cleared and filled again.
 MAX_PAIRS = 1_000_000
 NORMAL, BYTE = 1, 6
@@ -282,7 +282,7 @@ def encode_docs(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "text", "piece_ids"])
 
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return narrow.mapInArrow(run, "doc_id long, text string, piece_ids array<int>")
+    return narrow.mapInArrow(trimmed(run), "doc_id long, text string, piece_ids array<int>")
 
 
 DIGESTS = "doc_id long, n_pieces long, ids_sha256 string, text_sha256 string, round_trip boolean"
@@ -312,7 +312,7 @@ def decode_docs(encoded: DataFrame, path: str | None = None) -> DataFrame:
                  pa.array([a == b for a, b in zip(back, texts, strict=True)])],
                 ["doc_id", "n_pieces", "ids_sha256", "text_sha256", "round_trip"])
 
-    return encoded.mapInArrow(run, DIGESTS)
+    return encoded.mapInArrow(trimmed(run), DIGESTS)
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 import gc
 import random
+import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from alertloom.llm import bwt_repeats, chat_format, exact_dedup, minhash_dedup, source_mix, suffix_dedup
-from alertloom.llm.language_id import code_words
+from alertloom.llm.common import trimmed
+from alertloom.llm.language_id import BUCKETS, Model, code_words
 from alertloom.llm.sentence_pieces import MODEL, decode, encode, load
 from alertloom.llm.window_anchors import LENGTH, anchored
 
@@ -270,3 +274,51 @@ def test_no_task_of_the_removal_holds_two_python_processes(spark, tables):
         assert processes(plan) <= 1 and plan.toString().count("MapInArrow") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _peak(function) -> int:
+    tracemalloc.start()
+    try:
+        function()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_encoding_holds_no_more_for_a_whole_batch_than_for_a_quarter():
+    import public_tokenizers
+
+    model = load(public_tokenizers.path(MODEL))
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=6)) for _ in range(1000)) for _ in range(140)]
+    encode(texts, model)  # fills the table of pairs
+    part, whole = (_peak(lambda n=n: encode(texts[:n], model)) for n in (35, 140))
+    assert whole < 2 * part
+
+
+def test_prediction_holds_no_more_for_a_whole_batch_than_for_a_quarter():
+    code = code_words(5)
+    weights, ones = np.ones((BUCKETS, code.shape[1]), np.float32), np.ones(code.shape[1])
+    model = Model(list("abcde"), code, weights, 0 * ones, ones, ones)
+    texts = ["several words of a text " * 400] * 24
+    part, whole = (_peak(lambda n=n: model.margins(texts[:n])) for n in (6, 24))
+    assert whole < 2 * part
+
+
+def test_workers_give_back_what_they_freed():
+    def anonymous() -> float:
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2500)]  # 240 MB in pieces that the allocator keeps
+        pinned.append(np.ones(12_000))
+        yield from batches
+        del held
+
+    pinned: list[np.ndarray] = []
+    batch = pa.RecordBatch.from_pydict({"x": [1, 2]})
+    before = anonymous()
+    assert list(trimmed(run)(iter([batch, batch]))) == [batch, batch]
+    assert anonymous() < before + 60
+    del pinned
