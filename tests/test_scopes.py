@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from alertloom.operators.match import match_alerts, session_scopes, with_row_key
 from alertloom.operators.rules import with_levels
 from alertloom.plans.enrich import band_folders, enrich, scoped_logs
@@ -123,6 +125,53 @@ def test_all_logs_are_pruned_to_the_hours_of_alerts(spark, tmp_path, by):
         assert "dynamicpruning" in plan
 
 
+def without_time(rows, row):
+    return rows.withColumn("ts_us", F.when(F.col("row_id") != row, F.col("ts_us")))
+
+
+def test_a_stream_leaves_out_no_row_for_want_of_a_time(spark, tmp_path):
+    spark.createDataFrame(full([alert(1, "c1"), alert(2, "c1", 10000)]), FULL).write.parquet(str(tmp_path / "in"))
+    found = logs(spark, dns=[("u", 5000), ("other", 1)], ssl=[("u", 10001), ("u", 5000)])
+    tables = (spark.createDataFrame([conn("u", "c1", 1, 1), conn("u", "c1", 10001, 2)], CONN),
+              {**found, "dns": without_time(found["dns"], 0)})
+    stream = spark.readStream.schema(FULL).parquet(str(tmp_path / "in"))
+    start_enrich(stream, lambda: tables, str(tmp_path / "docs"), str(tmp_path / "state"), once=True).awaitTermination()
+    docs = {r["alert_id"]: json.loads(r["document"]) for r in spark.read.parquet(str(tmp_path / "docs")).collect()}
+    blocks = {i: {c: b["statistics"] for level in d["evidence"].values() for c, b in level.items()} for i, d in docs.items()}
+    assert {i: sorted(b) for i, b in blocks.items()} == {1: ["dns"], 2: ["dns", "ssl"]}  # ssl has a time, of one alert's hours
+    assert all(b["dns"]["total_queries"] == 1 for b in blocks.values())
+
+
+def test_stream_and_sql_keep_events_without_a_time(spark, tmp_path):
+    db = duckdb.connect()
+    for name, rows in {  # two sessions of alerts and connections; dns and ssl rows are hours away or have no time
+        "events": """select i as event_id, case when i % 8 = 6 or i % 16 = 7 or i % 80 = 40 then null else timestamp '2024-01-01 00:05:00'
+            + to_days(i // 320) + to_hours(case when i % 4 < 2 then 0 else 5 end) + to_seconds(i % 320) end as ts, i // 4 % 6 as user_id,
+            ['error', 'other', 'view', 'purchase'][i % 4 + 1] as event_type, (i % 9)::double as value, '{"k": 1}' as props""",
+        "pages": "select i as page_id, 'https://h/' || i as url, '<p>' as html",
+        "documents": "select i as doc_id, 'text ' || i as text, 'en' as lang, 's' as source, 9 as n_chars",
+    }.items():
+        db.execute(f"create table {name} as {rows} from range({dict(events=640, pages=24, documents=96)[name]}) t(i)")
+        db.execute(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    columns = ["alert_id", "has_connection", "has_evidence", "http_level", "dns_level", "ssl_level", "files_level"]
+    got = sorted((tuple(r) for r in entry_module.queries()["alert_enrich_stream"](spark, str(tmp_path)).select(*columns).collect()), key=repr)
+    assert got == sorted(db.execute(f"select {', '.join(columns)} from ({entry_module.oracle_sql()['alert_enrich_stream']})").fetchall(), key=repr)
+    assert {r[1] for r in got} == {True, False}
+    assert all(all(level is not None for level in r[3:]) for r in got if r[1])
+
+
+@pytest.mark.parametrize("by", [("dt",), ("dt", "hour")])
+def test_the_folder_of_rows_without_a_time_is_read_where_asked(spark, tmp_path, by):
+    alerts = spark.createDataFrame([alert(1, "c1")], ALERT)
+    write_log_table(without_time(logs(spark, dns=[("u", 1), ("u", 9000), ("u", 2), ("v", 1)])["dns"], 1), str(tmp_path / "dns"), by=by)
+    log = {"dns": read_log_table(spark, str(tmp_path / "dns"))}
+    matched = alerts.select("alert_id", F.lit("u").alias("uid"))
+    for untimed, want in ((False, [0, 2]), (True, [0, 1, 2])):
+        rows = scoped_logs(alerts, matched, log, untimed=untimed)[1]["dns"]
+        assert sorted(r["row_id"] for r in rows.collect()) == want
+        assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scopes_share_hours(spark):
     alerts = spark.createDataFrame([alert(1, "c1"), alert(2, "c1", 5), alert(3, "c1", 2400)], ALERT)
     scopes = session_scopes(alerts, match_alerts(alerts, spark.createDataFrame([conn("u", "c1", 1800, 1)], CONN)))
